@@ -60,10 +60,14 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: in
     return by.select("mix_source", "source_size", F.when(F.col("clamped"), F.col("clamp").cast("double")).otherwise(share).alias("target"))
 
 
+def sized(documents: DataFrame) -> DataFrame:
+    """documents with mix_size, the number of words."""
+    return documents.withColumn("mix_size", common.n_words(F.col("text")))
+
+
 def plan(documents: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
     """(per source: targets, whole repetitions and the boundary bucket; per unit of a boundary bucket: whether it is taken once more)."""
-    sized = documents.select("doc_id", "source", common.n_words(F.col("text")).alias("size"))
-    units = sized.withColumn("h", _hash(F.col("doc_id"), seed)).withColumn("bucket", F.shiftright("h", 48))
+    units = documents.select("doc_id", "source", F.col("mix_size").alias("size")).withColumn("h", _hash(F.col("doc_id"), seed)).withColumn("bucket", F.shiftright("h", 48))
     hist = units.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
     goal = targets(hist, weights, max_epochs)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -83,7 +87,7 @@ def plan(documents: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: i
 
 
 def repetitions(documents: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """documents with mix_source, source_size, target, and mix_times: how often the mix takes each row."""
+    """documents (with mix_size) and source_size, target, mix_times: how often the mix takes each row."""
     goal, more = plan(documents, weights, max_epochs, seed)
     out = documents.join(goal, documents["source"].eqNullSafe(goal["mix_source"]), "left")
     out = out.join(more, out["doc_id"].eqNullSafe(more["unit_id"]) & out["source"].eqNullSafe(more["unit_source"]), "left")
@@ -94,14 +98,13 @@ def repetitions(documents: DataFrame, weights: Sequence[float] = WEIGHTS, max_ep
 
 def taken(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
-    slim = documents.select("doc_id", "source", "text")
-    sized = repetitions(slim).withColumn("size", common.n_words(F.col("text")))
-    return sized.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("mix_times")).alias("taken"))
+    slim = sized(documents).select("doc_id", "source", "mix_size")
+    return repetitions(slim).select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("mix_times")).alias("taken"))
 
 
 def apply_mix(documents: DataFrame) -> DataFrame:
     """The mix itself: each row as often as it is taken."""
-    out = repetitions(documents).where("mix_times > 0")
+    out = repetitions(sized(documents)).where("mix_times > 0")
     return out.withColumn("mix_times", F.explode(F.sequence(F.lit(1), F.col("mix_times").cast("int")))).select(*documents.columns)
 
 
