@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, linededup, mixing, quality, secrets, warc
+from . import fingerprint, langid, linededup, mixing, neardup, quality, secrets, warc
 from .common import table
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mix_sources": lambda spark, d: mixing.taken(table(spark, d, "documents")),
     "op6_scaled_fingerprints": lambda spark, d: fingerprint.fingerprints(table(spark, d, "documents")),
     "op7_recursive_secrets": lambda spark, d: secrets.find(table(spark, d, "documents")),
+    "op8_bbit_minhash": lambda spark, d: neardup.groups(table(spark, d, "documents")),
     "op9_site_line_dedup": lambda spark, d: linededup.of_pages(table(spark, d, "pages")),
 }
 
