@@ -1,10 +1,64 @@
-"""A corpus pipeline of five stages over `documents`."""
+"""A corpus pipeline of five stages over `documents`.
 
-from pathlark.llm import linededup, mixing, quality
+Line quality rules, line dedup by source, MinHash near-dedup, mixing sources to target weights, and
+packing into training sequences. Each stage takes (spark, docs, sf_dir) and works on all rows that its
+predecessor kept; all but the last return the columns of `documents`.
+"""
 
-STAGES: list = []
-ORACLE_SQL = None
+from __future__ import annotations
 
+import uuid
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pathlark.llm import common, linededup, mixing, neardup, packing, quality
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops failing lines, and the documents that the rules reject."""
+    return quality.clean(docs.select(*COLUMNS))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the boilerplate lines of each source, and documents of which nothing is left."""
+    out = linededup.drop_site_lines(docs.select(*COLUMNS), "text", F.col("source"))
+    out = out.where((F.col("n_dropped") == 0) | F.col("text").rlike(common.WORD))
+    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return neardup.keep_one(docs.select(*COLUMNS))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.apply_mix(docs.select(*COLUMNS))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all training sequences."""
+    return packing.pack(docs.select(*COLUMNS))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("mix sources", mix_sources),
+    ("pack sequences", pack_sequences),
+]
+ORACLE_SQL = None  # a tokenizer and a greedy retrieval order have no SQL form; see tests/llm
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; what a stage returns is written as Parquet to the shared folder and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    base = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        docs = spark.read.parquet(f"{base}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)

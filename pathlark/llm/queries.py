@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, linededup, mixing, neardup, quality, secrets, toxicity, warc
+from . import fingerprint, langid, linededup, mixing, neardup, packing, quality, secrets, toxicity, warc
 from .common import table
 
 QUERIES = {
@@ -15,6 +15,7 @@ QUERIES = {
     "op7_recursive_secrets": lambda spark, d: secrets.find(table(spark, d, "documents")),
     "op8_bbit_minhash": lambda spark, d: neardup.groups(table(spark, d, "documents")),
     "op9_site_line_dedup": lambda spark, d: linededup.of_pages(table(spark, d, "pages")),
+    "op10_bm25_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
 }
 
 ORACLES = {
