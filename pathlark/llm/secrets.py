@@ -1,7 +1,7 @@
 r"""Secret scans with a recursive decoding worklist.
 
 Every text is scanned by the base rules (assignments, access keys, long hex runs). Then parts
-that decode (URL escapes; \\u, \\x and &# escapes; base64; gzip, zlib, bz2 or xz inside base64) become new
+that decode (lines with URL escapes; lines with \\u, \\x or &# escapes; base64; gzip, zlib, bz2 or xz inside base64) become new
 layers on a worklist, are scanned by the same rules and unwrapped again, until nothing new comes
 out. A layer whose text came out of the same part of the document before isn't taken again (cycle
 detection). Every
@@ -36,10 +36,10 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_URL = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
+_URL = re.compile(r"^.*%[0-9A-Fa-f]{2}.*$", re.MULTILINE)
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPED = re.compile(r"(?:[^\s\\&]*(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};))+[^\s\\&]*")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+_ESCAPED = re.compile(r"^.*(?:\\[uUx]|&#).*$", re.MULTILINE)
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 
 
@@ -91,19 +91,17 @@ def _replaced(part: str, at: int, pattern: re.Pattern, decode) -> tuple[str, lis
     """part with each match decoded, and for each character of it where it starts and ends in the layer above."""
     out, starts, ends, done = [], [], [], 0
     for m in pattern.finditer(part):
-        for k in range(done, m.start()):
-            out.append(part[k])
-            starts.append(at + k)
-            ends.append(at + k + 1)
+        out.append(part[done : m.start()])
+        starts += range(at + done, at + m.start())
+        ends += range(at + done + 1, at + m.start() + 1)
         new = decode(m)
         out.append(new)
         starts += [at + m.start()] * len(new)
         ends += [at + m.end()] * len(new)
         done = m.end()
-    for k in range(done, len(part)):
-        out.append(part[k])
-        starts.append(at + k)
-        ends.append(at + k + 1)
+    out.append(part[done:])
+    starts += range(at + done, at + len(part))
+    ends += range(at + done + 1, at + len(part) + 1)
     return "".join(out), starts, ends
 
 
@@ -114,7 +112,8 @@ def layers(text: str, limit: int = MAX_LAYER_CHARS):
             yield "url", *_replaced(m[0], m.start(), _PERCENT, lambda x: bytes.fromhex(x[0].replace("%", "")).decode("utf-8", "replace"))
     if "\\" in text or "&#" in text:
         for m in _ESCAPED.finditer(text):
-            yield "unicode", *_replaced(m[0], m.start(), _ESCAPE, _unescape)
+            if (new := _replaced(m[0], m.start(), _ESCAPE, _unescape))[0] != m[0]:
+                yield "unicode", *new
     for m in _BASE64.finditer(text):
         body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         if len(body) % 4 == 1:
