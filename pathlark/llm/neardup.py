@@ -33,6 +33,8 @@ from . import common
 
 BANDS, ROWS, BITS, SIGNED = 30, 5, 4, 128
 PERCENT, BLOCK, ANCHORS = 80, 131_072, 4
+#: Ties to a task while components are found: rounds over few ties don't write files for many partitions.
+TIES_PER_TASK = 50_000
 _RNG = np.random.default_rng(20)
 _A = (_RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
@@ -166,13 +168,15 @@ def components(edges: DataFrame) -> DataFrame:
     edges = common.cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = state(edges)
     while seen[0]:
+        tasks = -(-seen[0] // TIES_PER_TASK)  # follows the ties; more than there are partitions changes nothing
+        edges = edges.coalesce(tasks)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(edges.join(least, F.col("a") == F.col("u")).select("a", F.col("m").alias("b"))).where("a != b").distinct()
+        large = large.unionByName(edges.join(least, F.col("a") == F.col("u")).select("a", F.col("m").alias("b"))).where("a != b").coalesce(2 * tasks).distinct().coalesce(tasks)
         low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = common.cut(small.where("a != b").distinct())
+        edges = common.cut(small.where("a != b").coalesce(2 * tasks).distinct().coalesce(tasks))
         now = state(edges)
         if now == seen:
             break
