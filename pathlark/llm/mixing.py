@@ -61,13 +61,13 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: in
 
 
 def sized(documents: DataFrame) -> DataFrame:
-    """documents with mix_size, the number of words."""
-    return documents.withColumn("mix_size", common.n_words(F.col("text")))
+    """documents with _mix_size, the number of words."""
+    return documents.withColumn("_mix_size", common.n_words(F.col("text")))
 
 
 def plan(documents: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
     """(per source: targets, whole repetitions and the boundary bucket; per unit of a boundary bucket: whether it is taken once more)."""
-    units = documents.select("doc_id", "source", F.col("mix_size").alias("size")).withColumn("h", _hash(F.col("doc_id"), seed)).withColumn("bucket", F.shiftright("h", 48))
+    units = documents.select("doc_id", "source", F.col("_mix_size").alias("size")).withColumn("h", _hash(F.col("doc_id"), seed)).withColumn("bucket", F.shiftright("h", 48))
     hist = units.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
     goal = targets(hist, weights, max_epochs)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -87,25 +87,25 @@ def plan(documents: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: i
 
 
 def repetitions(documents: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """documents (with mix_size) and source_size, target, mix_times: how often the mix takes each row."""
-    goal, more = plan(documents, weights, max_epochs, seed)
-    out = documents.join(goal, documents["source"].eqNullSafe(goal["mix_source"]), "left")
-    out = out.join(more, out["doc_id"].eqNullSafe(more["unit_id"]) & out["source"].eqNullSafe(more["unit_source"]), "left")
-    early = F.shiftright(_hash(documents["doc_id"], seed), 48) < F.col("edge_bucket")
-    times = F.col("whole") + F.when(early | F.coalesce(F.col("more"), F.lit(False)), 1).otherwise(0)
-    return out.select(*[documents[c] for c in documents.columns], "source_size", "target", times.cast("long").alias("mix_times"))
+    """documents (with _mix_size) and _mix_source_size, _mix_target, _mix_times: how often the mix takes each row."""
+    goal, more = (df.toDF(*[f"_mix_{c}" for c in df.columns]) for df in plan(documents, weights, max_epochs, seed))
+    out = documents.join(goal, documents["source"].eqNullSafe(goal["_mix_mix_source"]), "left")
+    out = out.join(more, documents["doc_id"].eqNullSafe(more["_mix_unit_id"]) & documents["source"].eqNullSafe(more["_mix_unit_source"]), "left")
+    early = F.shiftright(_hash(documents["doc_id"], seed), 48) < F.col("_mix_edge_bucket")
+    times = F.col("_mix_whole") + F.when(early | F.coalesce(F.col("_mix_more"), F.lit(False)), 1).otherwise(0)
+    return out.select(*[documents[c] for c in documents.columns], "_mix_source_size", "_mix_target", times.cast("long").alias("_mix_times"))
 
 
 def taken(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
-    slim = sized(documents).select("doc_id", "source", "mix_size")
-    return repetitions(slim).select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("mix_times")).alias("taken"))
+    slim = sized(documents).select("doc_id", "source", "_mix_size")
+    return repetitions(slim).select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("_mix_size") * F.col("_mix_times")).alias("taken"))
 
 
 def apply_mix(documents: DataFrame) -> DataFrame:
     """The mix itself: each row as often as it is taken."""
-    out = repetitions(sized(documents)).where("mix_times > 0")
-    return out.withColumn("mix_times", F.explode(F.sequence(F.lit(1), F.col("mix_times").cast("int")))).select(*documents.columns)
+    out = repetitions(sized(documents)).where("_mix_times > 0")
+    return out.withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_times").cast("int")))).select(*documents.columns)
 
 
 SQL = r"""

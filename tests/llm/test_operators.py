@@ -1,0 +1,219 @@
+"""The training-data operators: against DuckDB, brute force or held-out rows, and on odd rows."""
+
+import base64
+import gzip
+import hashlib
+import itertools
+import math
+import re
+import urllib.parse
+from collections import Counter, defaultdict
+
+import pytest
+from helpers import SF, compare
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from pathlark.llm import fingerprint, langid, linededup, mixing, neardup, packing, quality, queries, secrets, toxicity, warc
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, *rows):
+    return spark.createDataFrame([(i, t, "en", s, None if t is None else len(t)) for i, t, s in rows], SCHEMA)
+
+
+def odd(spark):
+    """Nulls, empty and long texts, ties, repeated rows."""
+    long = " ".join(f"word{k % 977} w{k}." for k in range(30_000))
+    rows = [(1, None, "a"), (2, "", None), (None, "no id here but ten words of text stand in it.", "a"), (3, long, "a"), (4, "Same text for two rows, which is a tie.", "b"), (5, "Same text for two rows, which is a tie.", "b"), (5, "Same text for two rows, which is a tie.", "b"), (6, "\n\n \t\n", "b")]
+    clash = {c: F.lit("x") for c in ("size", "block", "rep", "root", "fp", "bucket", "target", "taken", "gid", "shard", "host", "n_lines", "url", "kept", "score", "h", "w")}
+    return docs(spark, *rows).withColumns(clash)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_sql(spark, name):
+    compare(spark, queries.QUERIES[name], queries.ORACLES[name])
+
+
+OPS = {
+    "judge": quality.judge, "clean": quality.clean, "taken": mixing.taken, "apply_mix": mixing.apply_mix, "fingerprints": fingerprint.fingerprints, "secrets": secrets.find, "groups": neardup.groups,
+    "keep_one": neardup.keep_one, "pack": packing.pack, "lines": lambda d: linededup.drop_site_lines(d, "text", F.col("source")), "lang": langid.identify, "toxic": lambda d: toxicity.predict(d, None),
+    "warc": lambda d: warc.round_trip(d.select(F.col("doc_id").alias("page_id"), "url", F.col("text").alias("html"), "kept")), "pages": lambda d: linededup.of_pages(d.select(F.col("doc_id").alias("page_id"), "url", F.col("text").alias("html"), "host")),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPS))
+def test_odd_rows(spark, name):
+    got = OPS[name](odd(spark)).collect()
+    if name in ("judge", "taken", "fingerprints", "secrets", "groups", "lines", "lang", "toxic", "warc", "pages"):
+        assert len(got) == 8
+    assert OPS[name](odd(spark).limit(0)).collect() == []
+
+
+def test_warc_revisits(spark):
+    big = "é" * 1_500_000
+    pages = spark.createDataFrame([(9, "http://a/ b", big), (3, None, big), (4, "u", None), (5, "u", "")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert got[9].record_type == "revisit" and got[9].refers_to == 3 and got[3].refers_to is None and got[5].refers_to == 4
+    assert got[3].payload_bytes == 3_000_000 and got[3].n_chunks > 10 and all(r.digest_ok for r in got.values())
+    assert got[9].payload_digest == base64.b32encode(hashlib.sha1(big.encode()).digest()).decode()
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1000])
+def test_warc_parser_takes_any_pieces(piece):
+    body = bytes(range(256)) * 5
+    data = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <a>\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    parser, rows = warc.WarcChunks(300), []
+    for k in range(0, 2 * len(data), piece):
+        rows += parser.feed((data + data)[k : k + piece])
+    assert [r[3] for r in rows] == [300, 300, 300, 300, 80] * 2 and rows[4][4] == base64.b32encode(hashlib.sha1(body).digest()).decode()
+
+
+def test_quality_verdicts():
+    good = "This is a line that ends well.\n" * 1 + "Another line of plain prose, also fine.\n"
+    assert quality.judge_text(good)[6] and not quality.judge_text("few words.")[6]
+    cleaned = quality.judge_text(good + "Home | About | Contact\n")
+    assert cleaned[6] and "Home" not in cleaned[8]
+    assert not quality.judge_text("Home | News | Login now\nmenu item one here\nmenu item two here\nOne real line stands here.")[6]
+    words = "a b c d e f a b c d e g h".split()
+    assert quality.repeated_words(words) == 10
+
+
+def test_language_is_learned(spark):
+    df = langid.identify(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out AND lang_pred <> 'und'")
+    lang = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    right = df.join(lang, "doc_id").where("lang IS NOT NULL").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
+    assert right > 0.95
+
+
+def test_toxicity_is_learned(spark):
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    got = toxicity.score(spark.read.parquet(f"{d}/documents.parquet"), labels).join(labels, "doc_id").where("held_out AND toxic IS NOT NULL").select("score", "toxic").collect()
+    yes, no = [r.score for r in got if r.toxic], [r.score for r in got if not r.toxic]
+    auc = sum((a > b) + 0.5 * (a == b) for a in yes for b in no) / (len(yes) * len(no))
+    assert auc > 0.9
+
+
+def test_secret_layers():
+    inner = base64.b64encode(b"token: deadbeef99 xyzzy").decode()
+    blob = base64.b64encode(gzip.compress(f"inner {inner}".encode())).decode()
+    assert secrets.scan(f"see {blob} end")[1] == [("assign@base64+gzip+base64", 4, 4 + len(blob))]
+    text = "x " + urllib.parse.quote("api_key = abcdef123456", safe="") + " y"
+    assert [text[s:e] for _, s, e in secrets.scan(text)[1]] == [text[2:-2]]
+    assert secrets.scan("p" + chr(92) + "u0061ssword: sw0rdf1sh")[1] == [("assign@unicode", 0, 24)]
+    twice = urllib.parse.quote(urllib.parse.quote("secret=abcdefgh", safe=""), safe="")
+    assert secrets.scan(twice)[1][0][1:] == (0, len(twice))
+    bomb = base64.b64encode(gzip.compress(b"a" * 100_000)).decode()
+    assert secrets.scan(bomb, 1000)[1] == [("oversized@base64+gzip", 0, len(bomb))]
+    assert secrets.scan("%41%25")[2] == 1 and secrets.scan(None) == ([], [], 0)
+
+
+def test_secret_base_rules(spark):
+    rule = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
+    src = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.QUERIES["op7_recursive_secrets"](spark, SF).collect():
+        t = src[r.doc_id]
+        spans = [("assign", m.start(), m.end()) for m in rule.finditer(t) if len(m[2]) >= 6] + [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        spans.sort(key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def brute_groups(rows):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = set(zip(w, w[1:])) if len(w) > 1 else {tuple(w)} if w else set()
+    up = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            ra, rb = sorted((up[a], up[b]))
+            up = {k: ra if v == rb else v for k, v in up.items()}
+    return {i: (len(sets[i]), up[i], up[i] == i) for i in sets}
+
+
+@pytest.mark.parametrize("block", [neardup.BLOCK, 300])
+def test_near_duplicates(spark, block):
+    src = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    base = [f"w{k}" for k in range(40)]
+    chain = [(10_000 + k, " ".join(base[2 * k :] + [f"x{j}" for j in range(2 * k)])) for k in range(12)]  # each near the next only
+    rows = [(r.doc_id, r.text) for r in src] + chain
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.groups(docs(spark, *[(i, t, "s") for i, t in rows]), block).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_mix(spark):
+    rows = mixing.taken(spark.read.parquet(f"{SF}/documents.parquet")).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source"), "doc_id").collect()
+    by = defaultdict(lambda: [0, 0, 0])
+    for r in rows:
+        by[r.source][0] += r["size"]
+        by[r.source][1] += r.taken
+        by[r.source][2] = r.target
+        assert r.taken <= 3 * r["size"]
+    order = sorted(by, key=lambda s: (s is None, s))
+    weight, cap, total = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}, {s: 3 * by[s][0] for s in order}, sum(v[0] for v in by.values())
+    fixed: dict = {}
+    while True:
+        free = [s for s in order if s not in fixed]
+        left = total - sum(fixed.values())
+        over = [s for s in free if left * weight[s] / sum(weight[x] for x in free) > cap[s]]
+        if not over:
+            break
+        fixed |= {s: cap[s] for s in over}
+    for s in order:
+        goal = fixed.get(s, left * weight[s] / max(1, sum(weight[x] for x in free)))
+        assert math.isclose(by[s][2], goal, rel_tol=1e-9) and abs(by[s][1] - goal) <= 0.5 * max(r["size"] for r in rows if r.source == s)
+
+
+def test_packing_is_exact(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_path())
+    src = spark.read.parquet(f"{SF}/documents.parquet")
+    ids = {r.doc_id: [*tok.encode(r.text or "", add_special_tokens=False).ids, 1] for r in src.collect()}
+    rows = queries.QUERIES["op10_bm25_packing"](spark, SF).collect()
+    import numpy as np
+
+    seen, filled = Counter(), defaultdict(list)
+    for r in rows:
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(part) == r.length > 0 and r.doc_tokens == len(ids[r.doc_id]) and packing.crc(np.array(part)) == r.ids_crc32
+        seen.update((r.doc_id, k) for k in range(r.start, r.start + r.length))
+        filled[r.sequence_id].append((r.offset, r.length))
+    assert set(seen.values()) == {1} and len(seen) == sum(map(len, ids.values()))
+    for parts in filled.values():
+        at = 0
+        for offset, size in sorted(parts):
+            assert offset == at
+            at += size
+        assert at <= 2048
+    assert sum(map(len, ids.values())) / (2048 * len(filled)) > 0.97
+
+
+def test_tokens_of_odd_words():
+    from tokenizers import Tokenizer
+
+    tok, own = Tokenizer.from_file(packing.default_path()), packing.WordTokens(packing.default_path())
+    texts = ["It's they'LL 12,345 a1b2 --x--", "ÉCOLE straße İstanbul ǅ", "<|endoftext|> a<|b", "日本語 text \U0001f600‍", " x y", "aaaaaaaa" * 50, ""]
+    assert [list(x) for x in own.encode(texts)] == [[*tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_pipeline(spark):
+    """Each stage against its predecessor's rows."""
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, SF).cache()
+        assert frame.columns == list(corpus_pipeline.COLUMNS)
+        kept[name] = frame.collect()
+    judged = {r.doc_id: quality.judge_text(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r.doc_id: r.text for r in kept["quality rules"]} == {i: j[8] for i, j in judged.items() if j[6]}
+    lines = kept["line dedup"]
+    groups = brute_groups([(r.doc_id, r.text) for r in lines])
+    assert {r.doc_id for r in kept["near dedup"]} == {i for i, g in groups.items() if g[2]}
+    assert {r.doc_id for r in kept["mix sources"]} <= {r.doc_id for r in kept["near dedup"]}
+    pieces = corpus_pipeline.run(spark, SF).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    times = Counter(r.doc_id for r in kept["mix sources"])
+    assert {r.doc_id for r in pieces} == set(times)
