@@ -34,28 +34,33 @@ def html_lines(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", ""), r"\s*\n\s*", "\n"), F.lit("\n"))
 
 
+def _bare(line: Column) -> Column:
+    return F.trim(line, F.lit(" \t\r"))
+
+
 def _key(line: Column) -> Column:
-    return F.xxhash64(F.regexp_replace(line, r"^[ \t\r]+|[ \t\r]+$", ""))
+    return F.xxhash64(_bare(line))
 
 
 def drop_site_lines(pages: DataFrame, text: str, host: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """pages with `text` cleaned, and n_lines, n_dropped (long, of non-blank lines)."""
     src = pages.withColumn("_ld_host", F.coalesce(host, F.lit("")))
     lines = F.split(F.col(text), "\n", -1)
-    shown = F.filter(lines, lambda x: x.rlike(r"[^ \t\r]"))
+    shown = F.filter(lines, lambda x: _bare(x) != "")
     keys = F.array_distinct(F.transform(shown, _key))
     seen = src.select("_ld_host", F.explode(keys).alias("_ld_key")).groupBy("_ld_host", "_ld_key").agg(F.count(F.lit(1)).alias("_ld_n")).where(F.col("_ld_n") >= min_pages)
     total = src.groupBy("_ld_host").agg(F.count(F.lit(1)).alias("_ld_total"))
     common_lines = seen.join(total, "_ld_host").where(F.col("_ld_n") > F.col("_ld_total") * F.lit(float(max_ratio)))
     per_host = common_lines.groupBy("_ld_host").agg(F.collect_list("_ld_key").alias("_ld_drop"))
     out = src.join(per_host, "_ld_host", "left")
-    kept = F.filter(lines, lambda x: ~(x.rlike(r"[^ \t\r]") & F.array_contains(F.col("_ld_drop"), _key(x))))
+    kept = F.filter(lines, lambda x: ~((_bare(x) != "") & F.array_contains(F.col("_ld_drop"), _key(x))))
     has = F.col("_ld_drop").isNotNull()
     out = out.withColumn("_ld_all", F.coalesce(F.size(shown), F.lit(0)).cast("long"))
-    out = out.withColumn("_ld_text", F.when(has, F.array_join(kept, "\n")).otherwise(F.col(text)))
-    left = F.coalesce(F.size(F.filter(F.split(F.col("_ld_text"), "\n", -1), lambda x: x.rlike(r"[^ \t\r]"))), F.lit(0)).cast("long")
+    out = out.withColumn("_ld_kept", F.when(has, kept))
+    out = out.withColumn("_ld_text", F.when(has, F.array_join("_ld_kept", "\n")).otherwise(F.col(text)))
+    gone = (F.size(lines) - F.size("_ld_kept")).cast("long")
     cols = [F.col("_ld_text").alias(text) if c == text else F.col(f"`{c}`") for c in pages.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*cols, F.when(F.col(text).isNull(), 0).otherwise(F.col("_ld_all")).alias("n_lines"), F.when(F.col(text).isNull() | ~has, 0).otherwise(F.col("_ld_all") - left).alias("n_dropped"))
+    return out.select(*cols, F.when(F.col(text).isNull(), 0).otherwise(F.col("_ld_all")).alias("n_lines"), F.when(F.col(text).isNull() | ~has, 0).otherwise(gone).alias("n_dropped"))
 
 
 def of_pages(pages: DataFrame) -> DataFrame:
