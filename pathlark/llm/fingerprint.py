@@ -68,16 +68,16 @@ def with_next(documents: DataFrame) -> DataFrame:
     """doc_id, text, fp and the next document's next_text, next_fp."""
     src = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     placed = src.where("doc_id IS NOT NULL").withColumn("block", F.shiftright("doc_id", BLOCK_BITS)).repartition("block")
-    placed = with_sketch(placed, "text", "fp")
     order = Window.partitionBy("block").orderBy("doc_id", "text")
-    seen = placed.withColumn("next", F.lead(F.struct("text", "fp")).over(order))
+    seen = with_sketch(placed, "text", "fp").withColumn("next", F.lead(F.struct("text", "fp")).over(order))
     inner = seen.where("next IS NOT NULL").select("doc_id", "text", "fp", F.col("next.text").alias("next_text"), F.col("next.fp").alias("next_fp"))
-    last = seen.where("next IS NULL").drop("next")
-    edge = src.where("doc_id IS NOT NULL").select(F.shiftright("doc_id", BLOCK_BITS).alias("block"), "doc_id").groupBy("block").agg(F.min("doc_id").alias("head_id"))
-    head = src.join(edge.select("head_id"), src["doc_id"] == F.col("head_id"), "left_semi")
-    head = head.groupBy("doc_id").agg(F.min("text").alias("next_text")).withColumn("head_block", F.shiftright("doc_id", BLOCK_BITS)).drop("doc_id")
-    turn = last.join(_next_block(edge), F.col("block") == F.col("of_block")).join(head, F.col("next_block") == F.col("head_block"))
-    turn = with_sketch(turn.select("doc_id", "text", "fp", "next_text"), "next_text", "next_fp")
+    # the first and last row of each block, from the same shuffle
+    row = F.struct("doc_id", "text")
+    ends = placed.groupBy("block").agg(F.min(row).alias("first"), F.max(row).alias("last"))
+    edge = src.where("doc_id IS NOT NULL").select(F.shiftright("doc_id", BLOCK_BITS).alias("block")).distinct()
+    turn = ends.select("block", "last.doc_id", "last.text").join(_next_block(edge), F.col("block") == F.col("of_block"))
+    turn = turn.join(ends.select(F.col("block").alias("head_block"), F.col("first.text").alias("next_text")), F.col("next_block") == F.col("head_block"))
+    turn = with_sketch(with_sketch(turn.select("doc_id", "text", "next_text"), "text", "fp"), "next_text", "next_fp")
     lost = with_sketch(src.where("doc_id IS NULL"), "text", "fp").select("doc_id", "text", "fp", F.lit("").alias("next_text"), F.array().cast("array<string>").alias("next_fp"))
     return inner.unionByName(turn).unionByName(lost)
 
