@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the boilerplate lines of each source, and documents of which nothing is left."""
-    out = linededup.drop_site_lines(docs.select(*COLUMNS), "text", F.col("source"))
+    """Drops the boilerplate lines of each source, repeats of its longer lines, and documents of which nothing is left."""
+    out = linededup.drop_repeats(docs.select(*COLUMNS), "text", F.col("source"), "doc_id")
     out = out.where((F.col("n_dropped") == 0) | F.col("text").rlike(common.WORD))
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 

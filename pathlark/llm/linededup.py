@@ -8,6 +8,10 @@ Per (host, line hash) counts are partial sums before the shuffle, and what is ke
 bounded for each host: at most (lines per page) / max_ratio lines can pass. The texts meet these
 lists in a join on the host that Spark may split at a hot host; no window or list by host holds pages.
 
+A ratio can't see a line of a few documents in a large site. `drop_repeats` adds an absolute count: a line of
+``MIN_WORDS`` words or more on ``MIN_DOCS`` rows of a site stays in the first of them (by id) only. One
+place keeps it, so copies of a document don't erase each other. It is matched by joins on (site, line), so its lists grow with no site.
+
 Nulls: a null text stays null with no lines; pages without a host form one site. Repeated rows
 count as the pages that they are. An empty table gives an empty result. Other columns stay as
 they are, whatever their names (working columns start with ``_ld_``).
@@ -18,7 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 MAX_RATIO, MIN_PAGES = 0.1, 5
+MIN_DOCS, MIN_WORDS = 5, 5
 BREAKS = r"(?i)<(?:/?(?:p|div|ul|ol|li|h[1-6]|nav|footer|header|article|section|table|tr|br|title|body|head|html)\b[^>]*)>"
 
 
@@ -63,6 +70,24 @@ def drop_site_lines(pages: DataFrame, text: str, host: Column, max_ratio: float
     return out.select(*cols, F.when(F.col(text).isNull(), 0).otherwise(F.col("_ld_all")).alias("n_lines"), F.when(F.col(text).isNull() | ~has, 0).otherwise(gone).alias("n_dropped"))
 
 
+def drop_repeats(docs: DataFrame, text: str, host: Column, doc_id: str, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS) -> DataFrame:
+    """`drop_site_lines`, and lines that repeat across at least `min_docs` rows of a host, all but the first; n_dropped counts both."""
+    src = docs.withColumn("_ld_row", F.xxhash64(F.col(doc_id), F.coalesce(host, F.lit("")), F.col(text)))
+    long = F.filter(F.split(F.col(text), "\n", -1), lambda x: common.n_words(x) >= min_words)
+    seen = src.select(F.coalesce(host, F.lit("")).alias("_ld_site"), F.col(doc_id).alias("_ld_id"), "_ld_row", F.explode(F.array_distinct(F.transform(long, _key))).alias("_ld_key"))
+    place = F.struct(F.col("_ld_id").isNull(), F.col("_ld_id"), F.col("_ld_row"))
+    many = seen.groupBy("_ld_site", "_ld_key").agg(F.count(F.lit(1)).alias("_ld_n"), F.min(place).getField("_ld_row").alias("_ld_first")).where(F.col("_ld_n") >= min_docs)
+    gone = seen.join(many, ["_ld_site", "_ld_key"]).where(F.col("_ld_row") != F.col("_ld_first")).groupBy("_ld_row").agg(F.collect_set("_ld_key").alias("_ld_gone"))
+    out = drop_site_lines(src, text, host).join(gone, "_ld_row", "left")
+    lines = F.split(F.col(text), "\n", -1)
+    kept = F.filter(lines, lambda x: ~((_bare(x) != "") & F.array_contains(F.col("_ld_gone"), _key(x))))
+    out = out.withColumn("_ld_kept", F.when(F.col("_ld_gone").isNotNull(), kept))
+    more = F.coalesce(F.size(lines) - F.size("_ld_kept"), F.lit(0))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    cols = [F.coalesce(F.array_join("_ld_kept", "\n"), F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in names]
+    return out.select(*cols, "n_lines", F.when(F.col("_ld_gone").isNull(), F.col("n_dropped")).otherwise(F.col("n_dropped") + more).alias("n_dropped"))
+
+
 def of_pages(pages: DataFrame) -> DataFrame:
     """The operator over raw web pages: page_id, host, text, n_lines, n_dropped."""
     src = pages.select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text"))

@@ -217,3 +217,14 @@ def test_pipeline(spark):
     pieces = corpus_pipeline.run(spark, SF).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     times = Counter(r.doc_id for r in kept["mix sources"])
     assert {r.doc_id for r in pieces} == set(times)
+
+
+def test_pipeline_drops_repeats_in_large_sources(spark):
+    planted, short = "Subscribe to our weekly letter today.", "Read more."
+    rows = [(k, f"Own line {k} of this document here.\n" + (f" {planted}\n{short}" if k % 20 == 3 else "Other."), "big") for k in range(200)]
+    rows += [(300 + k, "All of this text is one copied line.", "big") for k in range(6)] + [(400 + k, planted, "small") for k in range(4)] + [(None, planted, "big")]
+    got = [(r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, docs(spark, *rows), SF).collect()]
+    assert sorted(i for i, t, _ in got if planted in t and i is not None) == [3, 400, 401, 402, 403]
+    assert [i for i, _, _ in got if i is None or 300 <= i < 400] == [300]
+    assert sum(short in t for _, t, _ in got) == 10 and all(n == len(t) for _, t, n in got)
+    assert {i for i, _, _ in got} >= set(range(200))
