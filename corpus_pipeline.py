@@ -30,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return neardup.keep_one(docs.select(*COLUMNS))
+    """One document of each group of near duplicates (5-word shingles) stays."""
+    return neardup.keep_one(docs.select(*COLUMNS), size=neardup.SIZE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 r"""Near-duplicate detection by b-bit MinHash, confirmed on full shingle sets.
 
-1. One pass over the texts gives each document its number of distinct 2-word shingles, a 128-bit hash
+1. One pass over the texts gives each document its number of distinct shingles of ``size`` words, a 128-bit hash
    of the set, and ``BANDS`` band keys of ``ROWS`` minima each. At similarity 0.8 a pair misses every
    band with probability 7e-6. Documents with the same set form a class; only its smallest doc_id goes on.
 2. Candidates: each class is tied to the smallest one in each of its buckets (a star, never all pairs);
@@ -33,6 +33,8 @@ from . import common
 
 BANDS, ROWS, BITS, SIGNED = 30, 5, 4, 128
 PERCENT, BLOCK, ANCHORS = 80, 131_072, 4
+#: Words to a shingle: of op8's contract, and for corpora.
+CONTRACT_SIZE, SIZE = 2, 5
 #: Ties to a task while components are found: rounds over few ties don't write files for many partitions.
 TIES_PER_TASK = 50_000
 _RNG = np.random.default_rng(20)
@@ -49,13 +51,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the 2-word shingles (one word: itself)."""
+def shingles(text: str | None, size: int = CONTRACT_SIZE) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of `size` words (fewer words: all of them as one)."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    if len(w) > 1:
-        w = w[:-1] * np.uint64(0x9E3779B97F4A7C15) + _mix(w[1:])
-    return np.unique(_mix(w + np.uint64(len(words) > 1)))
+    size = max(1, min(size, len(w)))
+    many = len(w) - size + 1
+    h = w[:many]
+    for k in range(1, size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + _mix(w[k : k + many])
+    return np.unique(_mix(h + np.uint64(size - 1)))
 
 
 def minima(s: np.ndarray) -> np.ndarray:
@@ -141,14 +146,14 @@ def solve(ids: list[int], sets: list[np.ndarray], probes: int = 0, known: list[i
     return ties
 
 
-def _signatures(documents: DataFrame) -> DataFrame:
+def _signatures(documents: DataFrame, size: int) -> DataFrame:
     schema = "doc_id long, n long, h1 long, h2 long, bands array<bigint>"
 
     def run(batches):
         for b in batches:
             n, h1, h2, bands = [], [], [], []
             for text in b.column("text"):
-                s = shingles(text.as_py())
+                s = shingles(text.as_py(), size)
                 n.append(len(s))
                 h1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 h2.append(int(np.bitwise_xor.reduce(_mix(s)).view(np.int64)) if len(s) else 0)
@@ -184,7 +189,7 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
 
 
-def _blocks(members: DataFrame, probing: bool) -> DataFrame:
+def _blocks(members: DataFrame, probing: bool, size: int) -> DataFrame:
     """Runs `solve` on each (gid, block): rows (rep, root)."""
 
     def run(batches):
@@ -212,7 +217,7 @@ def _blocks(members: DataFrame, probing: bool) -> DataFrame:
                     keep = len(ids) - probes
                     ids, sets, known, probes = ids[:keep], sets[:keep], known[:keep], 0
                 ids.append(rep)
-                sets.append(shingles(text))
+                sets.append(shingles(text, size))
                 known.append(root)
                 probes += role
             if len(out) >= 5000:
@@ -226,7 +231,7 @@ def _blocks(members: DataFrame, probing: bool) -> DataFrame:
     return laid.mapInArrow(run, "a long, b long")
 
 
-def _ties(documents: DataFrame, sigs: DataFrame, block: int) -> DataFrame | None:
+def _ties(documents: DataFrame, sigs: DataFrame, block: int, size: int) -> DataFrame | None:
     """(v, root) of all classes that are linked with another; v and root are smallest doc_ids of classes."""
     classes = sigs.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     keys = classes.select("rep", F.explode("bands").alias("key"))
@@ -242,7 +247,7 @@ def _ties(documents: DataFrame, sigs: DataFrame, block: int) -> DataFrame | None
     texts = documents.select(F.col("doc_id").alias("id"), "text")
     texts = common.cut(texts.join(placed, F.col("id") == F.col("rep")).drop("id"))
     spread = F.when(F.col("anchor"), F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array("own"))
-    first = _blocks(texts.withColumn("block", F.explode(spread)).withColumns({"root": F.lit(0).cast("long"), "role": F.lit(0)}), False)
+    first = _blocks(texts.withColumn("block", F.explode(spread)).withColumns({"root": F.lit(0).cast("long"), "role": F.lit(0)}), False, size)
     first = common.cut(first)
     roots = common.cut(components(first))
     large = texts.where("nb > 1").select("rep", "gid", "nb", "own").distinct().join(roots, F.col("rep") == F.col("v"), "left").select("rep", "gid", "nb", "own", F.coalesce("root", "rep").alias("root"))
@@ -254,16 +259,16 @@ def _ties(documents: DataFrame, sigs: DataFrame, block: int) -> DataFrame | None
     texts = texts.where("nb > 1").select("rep", "text").join(large.join(main, F.col("gid") == F.col("g")).select(F.col("rep").alias("id"), "gid", "nb", "own", "root", "main"), F.col("rep") == F.col("id"))
     base = texts.select("rep", "gid", F.col("own").alias("block"), "root", F.lit(0).alias("role"), "text")
     probe = texts.where("root != main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("rep", "gid", "block", "root", F.lit(1).alias("role"), "text")
-    more = _blocks(base.unionByName(probe), True)
+    more = _blocks(base.unionByName(probe), True, size)
     tied = roots.select(F.col("v").alias("a"), F.col("root").alias("b"))
     return components(tied.unionByName(more))
 
 
-def groups(documents: DataFrame, block: int = BLOCK) -> DataFrame:
+def groups(documents: DataFrame, block: int = BLOCK, size: int = CONTRACT_SIZE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    sigs = common.cut(_signatures(documents))
+    sigs = common.cut(_signatures(documents, size))
     classes = sigs.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    roots = _ties(documents, sigs, block)
+    roots = _ties(documents, sigs, block, size)
     known = classes.join(roots, F.col("rep") == F.col("v"), "left").where("copies > 1 OR root IS NOT NULL")
     known = known.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.coalesce("root", "rep").alias("class_root"))
     out = sigs.select("doc_id", "n", "h1", "h2").join(known, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
@@ -271,7 +276,7 @@ def groups(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
 
 
-def keep_one(documents: DataFrame, block: int = BLOCK) -> DataFrame:
+def keep_one(documents: DataFrame, block: int = BLOCK, size: int = SIZE) -> DataFrame:
     """documents, one of each group (that with the smallest doc_id); rows that repeat it stay."""
-    gone = groups(documents, block).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = groups(documents, block, size).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
     return documents.join(gone, documents["doc_id"] == F.col("gone_id"), "left_anti")

@@ -13,7 +13,7 @@ QUERIES = {
     "op5_mix_sources": lambda spark, d: mixing.taken(table(spark, d, "documents")),
     "op6_scaled_fingerprints": lambda spark, d: fingerprint.fingerprints(table(spark, d, "documents")),
     "op7_recursive_secrets": lambda spark, d: secrets.find(table(spark, d, "documents")),
-    "op8_bbit_minhash": lambda spark, d: neardup.groups(table(spark, d, "documents")),
+    "op8_bbit_minhash": lambda spark, d: neardup.groups(table(spark, d, "documents"), size=neardup.CONTRACT_SIZE),
     "op9_site_line_dedup": lambda spark, d: linededup.of_pages(table(spark, d, "pages")),
     "op10_bm25_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
 }

@@ -228,3 +228,14 @@ def test_pipeline_drops_repeats_in_large_sources(spark):
     assert [i for i, _, _ in got if i is None or 300 <= i < 400] == [300]
     assert sum(short in t for _, t, _ in got) == 10 and all(n == len(t) for _, t, n in got)
     assert {i for i, _, _ in got} >= set(range(200))
+
+
+def test_pipeline_near_dedup_takes_five_words(spark):
+    base = [f"w{k}" for k in range(200)]
+    apart = [f"x{k}" if k % 40 == 20 else w for k, w in enumerate(base)]  # 0.9 by two words, 0.78 by five
+    near = [f"y{k}" if k in (50, 150) else w for k, w in enumerate(base)]  # 0.9 by five words
+    rows = [(1, " ".join(base), "s"), (2, " ".join(apart), "s"), (3, " ".join(near), "s"), (4, "two words", "s"), (5, "Two words", "s"), (6, "a b c d", "s"), (7, "a b c e", "s")]
+    got = corpus_pipeline.near_dedup(spark, docs(spark, *rows), SF).collect()
+    assert {r.doc_id for r in got} == {1, 2, 4, 6, 7}
+    assert {r.doc_id for r in neardup.groups(docs(spark, *rows)).where("kept").collect()} == {1, 4, 6, 7}
+    assert len(neardup.shingles("a b c d e f", 5)) == 2 and len(neardup.shingles("a b", 5)) == 1 and not len(neardup.shingles("", 5))
