@@ -6,8 +6,8 @@ records (the format's own way), one output row per segment, through Spark's text
 protocol covers lost executors.
 
 Reading: `WarcChunks` takes bytes in pieces of any size and yields (record, chunk number, chunk
-length, running SHA-1, running length, last) rows. It keeps at most one header and one chunk;
-no record is ever held whole.
+length, running SHA-1, running length, last) rows. It keeps at most one header (of any length) and one
+chunk; no record is ever held whole. Input that ends within a record raises.
 
 Identical payloads: of the records with equal payloads of at least ``min_revisit_bytes`` bytes, the
 one with the smallest page_id is the response and the others are revisits without a payload.
@@ -84,7 +84,8 @@ class WarcChunks:
     """Incremental parser: feed() bytes, get chunk rows (see CHUNK_SCHEMA)."""
 
     def __init__(self, chunk_bytes: int = CHUNK):
-        self.limit, self.buf, self.todo, self.skip_http, self.record = chunk_bytes, b"", None, False, None
+        self.limit, self.buf, self.todo, self.skip_http, self.record = chunk_bytes, bytearray(), None, False, None
+        self.open, self.seen = False, 0  # more segments to come; how far the end of a header was looked for
 
     def _start(self, head: bytes) -> None:
         lines = head.decode("utf-8", "replace").split("\r\n")
@@ -107,24 +108,26 @@ class WarcChunks:
         return (r["id"], r["type"], r["no"] - 1, len(piece), base64.b32encode(r["sha1"].digest()).decode(), r["n"], last, r["refers"], r["digest"], int(r["full"]) if r["full"] is not None else r["n"])
 
     def feed(self, data: bytes) -> Iterator[tuple]:
-        buf = memoryview(self.buf + data if self.buf else data)
-        at = 0
+        buf, at = self.buf, 0
+        buf += data
         while True:
             if self.todo is None:  # between records, or in a header
                 while at < len(buf) and buf[at] in b"\r\n":
                     at += 1
-                raw = bytes(buf[at : at + (1 << 16)])
-                end = raw.find(b"\r\n\r\n")
+                end = buf.find(b"\r\n\r\n", max(at, self.seen))
                 if end < 0:
+                    self.seen = max(at, len(buf) - 3)
                     break
-                self._start(raw[:end])
-                at += end + 4
+                self._start(bytes(buf[at:end]))
+                at = end + 4
             if self.skip_http and self.todo:
-                raw = bytes(buf[at : at + min(self.todo, 1 << 16)])
-                end = raw.find(b"\r\n\r\n")
+                end = buf.find(b"\r\n\r\n", max(at, self.seen), at + self.todo)
                 if end < 0:
+                    if len(buf) - at >= self.todo:
+                        raise ValueError(f"HTTP header without an end in record {self.record['id'][:80]!r}")
+                    self.seen = max(at, len(buf) - 3)
                     break
-                at, self.todo, self.skip_http = at + end + 4, self.todo - end - 4, False
+                at, self.todo, self.skip_http = end + 4, self.todo - (end + 4 - at), False
             n = min(self.limit, self.todo)
             if len(buf) - at < n:
                 break
@@ -135,12 +138,19 @@ class WarcChunks:
             at += n
             if not self.todo:
                 self.todo = None
-        self.buf = bytes(buf[at:])
+        del buf[:at]
+        self.seen = max(0, self.seen - at)
+
+    def close(self) -> None:
+        """To be called where the input ends: raises if a record or bytes are left."""
+        if self.todo is not None or self.open or self.buf:
+            raise ValueError(f"input ends within a record: {len(self.buf)} bytes left, after {self.record['id'][:80] if self.record else None!r}")
 
     def stream(self, file, read_bytes: int = CHUNK) -> Iterator[tuple]:
         """Chunk rows of an open binary file of any size."""
         while data := file.read(read_bytes):
             yield from self.feed(data)
+        self.close()
 
 
 def read(spark: SparkSession, path: str, chunk_bytes: int = CHUNK) -> DataFrame:
@@ -161,6 +171,7 @@ def read(spark: SparkSession, path: str, chunk_bytes: int = CHUNK) -> DataFrame:
             if len(rows) >= 1000:
                 yield out()
                 rows.clear()
+        parser.close()
         if rows:
             yield out()
 

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import io
 import itertools
 import math
 import re
@@ -239,3 +240,22 @@ def test_pipeline_near_dedup_takes_five_words(spark):
     assert {r.doc_id for r in got} == {1, 2, 4, 6, 7}
     assert {r.doc_id for r in neardup.groups(docs(spark, *rows)).where("kept").collect()} == {1, 4, 6, 7}
     assert len(neardup.shingles("a b c d e f", 5)) == 2 and len(neardup.shingles("a b", 5)) == 1 and not len(neardup.shingles("", 5))
+
+
+@pytest.mark.parametrize("piece", [997, 1 << 18])
+def test_warc_headers_of_any_length(piece):
+    def record(k, url):
+        block = b"HTTP/1.1 200 OK\r\nX: " + url + b"\r\n\r\nbody"
+        return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <%d>\r\nContent-Type: application/http\r\nWARC-Target-URI: %s\r\nContent-Length: %d\r\n\r\n" % (k, url, len(block)) + block + b"\r\n\r\n"
+
+    data = record(1, b"http://a/") + record(2, b"u" * 300_000) + record(3, b"http://b/")
+    rows = list(warc.WarcChunks().stream(io.BytesIO(data), piece))
+    assert [(r[0], r[3], r[6]) for r in rows] == [("1", 4, True), ("2", 4, True), ("3", 4, True)]
+    for cut in (len(data) - 6, len(data) - 300):
+        with pytest.raises(ValueError, match="input ends"):
+            list(warc.WarcChunks().stream(io.BytesIO(data[:cut]), piece))
+
+
+def test_warc_long_urls(spark):
+    pages = spark.createDataFrame([(1, "u" * 65_000, "a"), (2, " " * 22_000, "b"), (3, "u", "c")], "page_id long, url string, html string").coalesce(1)
+    assert {r.page_id: r.digest_ok for r in warc.round_trip(pages).collect()} == {1: True, 2: True, 3: True}
