@@ -8,6 +8,9 @@ detection). Every
 decoded character knows the part of the document that it comes from, so spans of any layer are
 spans of the document, in code points; what lies within compressed data maps to the whole blob.
 
+Base64 that goes on over line breaks is taken as one blob, and each of its lines alone. A stream that isn't whole
+is reported as ``truncated``; what came out of it is scanned.
+
 Decompression that would pass ``max_layer_chars`` is not carried out; the blob is then reported
 itself as ``oversized``, so nothing goes unseen. Kinds of spans in layers are written
 ``kind@layer+layer``. A layer's span is left out if the same kind already has that very span.
@@ -30,7 +33,7 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-KINDS = ("assign", "access", "hex", "oversized")
+KINDS = ("assign", "access", "hex", "oversized", "truncated")
 MAX_LAYER_CHARS = 16 << 20
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long"
 
@@ -41,6 +44,9 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _ESCAPED = re.compile(r"^.*(?:\\[uUx]|&#).*$", re.MULTILINE)
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+# runs that go on over line breaks: up to the last line, each is the whole rest of its line
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{1,15}[ \t]*+\r?\n[ \t]*+)?[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)*+={0,2}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -54,23 +60,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _inflate(raw: bytes, limit: int) -> tuple[str, bytes | None] | None:
-    """(layer, data) of compressed bytes; data is None if there is too much of it; None if they aren't compressed."""
+def _inflate(raw: bytes, limit: int) -> tuple[str, bytes, str | None, bytes] | None:
+    """(layer, data, mark, what follows) of compressed bytes; the mark says why data isn't all of it; None if they aren't compressed."""
+    if raw[:2] == b"\x1f\x8b":
+        name, engine = "gzip", zlib.decompressobj(31)
+    elif raw[:1] == b"\x78" and len(raw) > 2 and not int.from_bytes(raw[:2], "big") % 31:
+        name, engine = "zlib", zlib.decompressobj()
+    elif raw[:3] == b"BZh":
+        name, engine = "bz2", bz2.BZ2Decompressor()
+    elif raw[:6] == b"\xfd7zXZ\0":
+        name, engine = "xz", lzma.LZMADecompressor()
+    else:
+        return None
     try:
-        if raw[:2] == b"\x1f\x8b":
-            name, engine = "gzip", zlib.decompressobj(31)
-        elif raw[:1] == b"\x78" and len(raw) > 2 and not int.from_bytes(raw[:2], "big") % 31:
-            name, engine = "zlib", zlib.decompressobj()
-        elif raw[:3] == b"BZh":
-            name, engine = "bz2", bz2.BZ2Decompressor()
-        elif raw[:6] == b"\xfd7zXZ\0":
-            name, engine = "xz", lzma.LZMADecompressor()
-        else:
-            return None
         data = engine.decompress(raw, limit + 1)
     except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
         return None
-    return (name, data if len(data) <= limit else None) if data else None
+    if len(data) > limit:
+        return name, b"", "oversized", b""
+    return (name, data, None if engine.eof else "truncated", engine.unused_data) if data else None
 
 
 def _readable(data: bytes) -> str | None:
@@ -105,8 +113,29 @@ def _replaced(part: str, at: int, pattern: re.Pattern, decode) -> tuple[str, lis
     return "".join(out), starts, ends
 
 
+def _candidates(text: str):
+    """Base64 candidates as lists of runs (start, end) without padding: those over line breaks, then each run alone."""
+    found = []
+    if "\n" in text:
+        for m in _WRAPPED.finditer(text):
+            runs = [(m.start() + x.start(), m.start() + x.end()) for x in _RUN.finditer(m[0])]
+            if len(runs) > 1:
+                found.append(runs)
+                size = [e - s for s, e in runs]
+                # a line of another width may begin or end a blob of its own
+                at = [0, *(k for k in range(1, len(runs)) if size[k] != size[k - 1]), len(runs)]
+                for k in range(len(at) - 1):
+                    end = at[k + 1] + (at[k + 1] < len(runs) and size[at[k + 1]] < size[at[k]])
+                    if end - at[k] > 1 and end - at[k] < len(runs):
+                        found.append(runs[at[k] : end])
+    for runs in found:
+        yield runs
+    for m in _BASE64.finditer(text):
+        yield [(m.start(), m.start() + len(m[0].rstrip("=")))]
+
+
 def layers(text: str, limit: int = MAX_LAYER_CHARS):
-    """What can be unwrapped in a text: (layer name, decoded text or None if oversized, starts, ends)."""
+    """What can be unwrapped in a text: (layer name, decoded text, starts, ends); without a text the name is mark@name."""
     if "%" in text:
         for m in _URL.finditer(text):
             yield "url", *_replaced(m[0], m.start(), _PERCENT, lambda x: bytes.fromhex(x[0].replace("%", "")).decode("utf-8", "replace"))
@@ -114,26 +143,33 @@ def layers(text: str, limit: int = MAX_LAYER_CHARS):
         for m in _ESCAPED.finditer(text):
             if (new := _replaced(m[0], m.start(), _ESCAPE, _unescape))[0] != m[0]:
                 yield "unicode", *new
-    for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+    inside: set[int] = set()  # where the lines of wrapped blobs start that are streams to their very end
+    for runs in _candidates(text):
+        if all(s in inside for s, _ in runs):
+            continue
+        body = "".join(text[s:e] for s, e in runs).replace("-", "+").replace("_", "/")
+        begin, end = runs[0][0], runs[-1][1]
+        while text[end : end + 1] == "=" and end < runs[-1][1] + 2:
+            end += 1
         if len(body) % 4 == 1:
             continue
         try:
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
         except (binascii.Error, ValueError):
             continue
-        names, size = "base64", len(raw)
-        while (inner := _inflate(raw, limit)) is not None:
-            names, raw = f"{names}+{inner[0]}", inner[1]
-            if raw is None:
-                break
-        if raw is None:
-            yield names, None, [m.start()], [m.end()]
-        elif (plain := _readable(raw)) is not None:
+        names, size, mark, rest = "base64", len(raw), None, b""
+        while mark is None and (inner := _inflate(raw, limit)) is not None:
+            names, raw, mark, rest = f"{names}+{inner[0]}", inner[1], inner[2], rest or inner[3]
+        if len(runs) > 1 and "+" in names and mark is None and not rest:
+            inside.update(s for s, _ in runs)
+        if mark:
+            yield f"{mark}@{names}", None, [begin], [end]
+        if raw and (plain := _readable(raw)) is not None:
             if "+" in names or len(plain) != size:  # positions inside are not those of the base64 text
-                yield names, plain, [m.start()] * len(plain), [m.end()] * len(plain)
+                yield names, plain, [begin] * len(plain), [end] * len(plain)
             else:
-                yield names, plain, [m.start() + k * 4 // 3 for k in range(size)], [min(m.end(), m.start() + -(-(k + 1) * 4 // 3)) for k in range(size)]
+                at = [k for s, e in runs for k in range(s, e)] + [end]
+                yield names, plain, [at[k * 4 // 3] for k in range(size)], [min(end, at[min(-(-(k + 1) * 4 // 3), len(at) - 1) - 1] + 1) for k in range(size)]
 
 
 def scan(text: str | None, limit: int = MAX_LAYER_CHARS) -> tuple[list, list, int]:
@@ -150,9 +186,12 @@ def scan(text: str | None, limit: int = MAX_LAYER_CHARS) -> tuple[list, list, in
         for name, new, starts, ends in layers(above, limit):
             if up_start is not None:
                 starts, ends = [up_start[k] for k in starts], [up_end[k - 1] for k in ends]
+            if new is None:
+                mark, _, name = name.partition("@")
             trail = f"{path}+{name}" if path else name
             if new is None:
-                every.append((f"oversized@{trail}", starts[0], ends[0]))
+                if (found := (f"{mark}@{trail}", starts[0], ends[0])) not in every:
+                    every.append(found)
                 continue
             key = (hashlib.sha1(new.encode("utf-8", "surrogatepass")).digest(), starts[0], ends[-1])
             if key in seen:

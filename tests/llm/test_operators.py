@@ -1,13 +1,16 @@
 """The training-data operators: against DuckDB, brute force or held-out rows, and on odd rows."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import io
 import itertools
+import lzma
 import math
 import re
 import urllib.parse
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -259,3 +262,27 @@ def test_warc_headers_of_any_length(piece):
 def test_warc_long_urls(spark):
     pages = spark.createDataFrame([(1, "u" * 65_000, "a"), (2, " " * 22_000, "b"), (3, "u", "c")], "page_id long, url string, html string").coalesce(1)
     assert {r.page_id: r.digest_ok for r in warc.round_trip(pages).collect()} == {1: True, 2: True, 3: True}
+
+
+@pytest.mark.parametrize("eol,indent", [("\n", ""), ("\r\n", ""), ("\n", "  ")])
+@pytest.mark.parametrize("width", [64, 76])
+def test_secrets_in_wrapped_base64(width, eol, indent):
+    def wrap(data):
+        b = base64.b64encode(data).decode()
+        return (eol + indent).join(b[k : k + width] for k in range(0, len(b), width))
+
+    plain = b"some words of a longer text, so that it breaks: password = hunter22222222222222222222 and more words after it" * 2
+    for before in ("", "key: ", "below\n"):
+        text = f"{before}{wrap(plain)} tail"
+        hits = [(s, e) for k, s, e in secrets.scan(text)[1] if k == "assign@base64"]
+        whole = [base64.b64decode("".join(text[s:e].split()) + "==", validate=False) for s, e in hits]
+        assert any(b"hunter22222222222222222222" in w for w in whole) or any(b"unter2222222222222222222" in w for w in whole), (before, hits)
+    noise = "".join(hashlib.sha256(b"%d" % k).hexdigest()[:9] + " " for k in range(60))
+    for pack, name in ((gzip.compress, "gzip"), (zlib.compress, "zlib"), (bz2.compress, "bz2"), (lzma.compress, "xz")):
+        blob = wrap(pack(f"{noise} password = hunter22222 {noise}".encode()))
+        assert (f"assign@base64+{name}", 2, 2 + len(blob)) in secrets.scan(f"x {blob} y")[1]
+    half = base64.b64encode(gzip.compress(noise.encode())[:-20]).decode()
+    assert ("truncated@base64+gzip", 0, len(half)) in secrets.scan(half)[1]
+    one, two = (base64.b64encode(x).decode() for x in (b"token: abcdef123 in a line", gzip.compress(noise.encode())))
+    text = f"{one} x {two[:80]}\n{two[80:]}"
+    assert ("assign@base64", 0, 22) in secrets.scan(text)[1]
