@@ -13,7 +13,8 @@ is reported as ``truncated``; what came out of it is scanned.
 
 Decompression that would pass ``max_layer_chars`` is not carried out; the blob is then reported
 itself as ``oversized``, so nothing goes unseen. Kinds of spans in layers are written
-``kind@layer+layer``. A layer's span is left out if the same kind already has that very span.
+``kind@layer+layer``. Bytes are read as UTF-8, with replacement of what is not, and as UTF-16 if a mark or zero bytes say so; they
+are left out only if they have no run of 12 ASCII characters, as no rule matches less. A layer's span is left out if the same kind already has that very span.
 
 Nulls: a null text is empty and has no spans. Each row stands alone: repeated rows, ties, null ids and
 empty tables need no rule. Extra columns are ignored.
@@ -47,6 +48,9 @@ _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 # runs that go on over line breaks: up to the last line, each is the whole rest of its line
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{1,15}[ \t]*+\r?\n[ \t]*+)?[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)*+={0,2}")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+# no rule and no encoding is shorter; each is ASCII
+_RULE_RUN = re.compile(r"[\t\n\r\x20-\x7e]{12}")
+_UTF16_LE, _UTF16_BE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){12}"), re.compile(rb"(?:\0[\t\n\r\x20-\x7e]){12}")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -81,12 +85,21 @@ def _inflate(raw: bytes, limit: int) -> tuple[str, bytes, str | None, bytes] | N
     return (name, data, None if engine.eof else "truncated", engine.unused_data) if data else None
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+def _readable(data: bytes) -> list[str]:
+    """The texts that bytes may stand for; none if no run in them is long enough for a rule."""
+    found = []
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        found.append(data.decode("utf-16", "replace"))
+    elif b"\0" in data:
+        little, big = _UTF16_LE.search(data), _UTF16_BE.search(data)
+        if little and (not big or little.start() < big.start()):
+            found.append(data[little.start() % 2 :].decode("utf-16-le", "replace"))
+        elif big:
+            found.append(data[big.start() % 2 :].decode("utf-16-be", "replace"))
+    found.insert(0, data.decode("utf-8", "replace"))
+    if found[0].isprintable() and "\ufffd" not in found[0]:
+        return found if data else []
+    return [x for x in found if _RULE_RUN.search(x)]
 
 
 def _unescape(m: re.Match) -> str:
@@ -164,7 +177,7 @@ def layers(text: str, limit: int = MAX_LAYER_CHARS):
             inside.update(s for s, _ in runs)
         if mark:
             yield f"{mark}@{names}", None, [begin], [end]
-        if raw and (plain := _readable(raw)) is not None:
+        for plain in _readable(raw):
             if "+" in names or len(plain) != size:  # positions inside are not those of the base64 text
                 yield names, plain, [begin] * len(plain), [end] * len(plain)
             else:
