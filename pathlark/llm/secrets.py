@@ -1,7 +1,7 @@
 r"""Secret scans with a recursive decoding worklist.
 
 Every text is scanned by the base rules (assignments, access keys, long hex runs). Then parts
-that decode (lines with URL escapes; lines with \\u, \\x or &# escapes; base64; gzip, zlib, bz2 or xz inside base64) become new
+that decode (lines with URL escapes; lines with \\u, \\x or &# escapes; base64; gzip, zlib, bz2 or xz, all members, inside base64 or escaped) become new
 layers on a worklist, are scanned by the same rules and unwrapped again, until nothing new comes
 out. A layer whose text came out of the same part of the document before isn't taken again (cycle
 detection). Every
@@ -41,13 +41,16 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _URL = re.compile(r"^.*%[0-9A-Fa-f]{2}.*$", re.MULTILINE)
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+_PERCENT, _PERCENT_PLUS = re.compile(r"(?:%[0-9A-Fa-f]{2})+"), re.compile(r"(?:%[0-9A-Fa-f]{2})+|\+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _ESCAPED = re.compile(r"^.*(?:\\[uUx]|&#).*$", re.MULTILINE)
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 # runs that go on over line breaks: up to the last line, each is the whole rest of its line
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{1,15}[ \t]*+\r?\n[ \t]*+)?[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)*+={0,2}")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0")
+_BYTE = re.compile(_ESCAPE.pattern + r"|\\([abfnrtv0\\'\"])")
+_SHORT = dict(zip("abfnrtv0", "\a\b\f\n\r\t\v\0"))
 # no rule and no encoding is shorter; each is ASCII
 _RULE_RUN = re.compile(r"[\t\n\r\x20-\x7e]{12}")
 _UTF16_LE, _UTF16_BE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){12}"), re.compile(rb"(?:\0[\t\n\r\x20-\x7e]){12}")
@@ -64,25 +67,75 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _inflate(raw: bytes, limit: int) -> tuple[str, bytes, str | None, bytes] | None:
-    """(layer, data, mark, what follows) of compressed bytes; the mark says why data isn't all of it; None if they aren't compressed."""
+def _engine(raw: bytes):
+    """(layer, decompressor) of what bytes begin with, or None."""
     if raw[:2] == b"\x1f\x8b":
-        name, engine = "gzip", zlib.decompressobj(31)
-    elif raw[:1] == b"\x78" and len(raw) > 2 and not int.from_bytes(raw[:2], "big") % 31:
-        name, engine = "zlib", zlib.decompressobj()
-    elif raw[:3] == b"BZh":
-        name, engine = "bz2", bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\0":
-        name, engine = "xz", lzma.LZMADecompressor()
-    else:
-        return None
-    try:
-        data = engine.decompress(raw, limit + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    if len(data) > limit:
-        return name, b"", "oversized", b""
-    return (name, data, None if engine.eof else "truncated", engine.unused_data) if data else None
+        return "gzip", zlib.decompressobj(31)
+    if raw[:1] == b"\x78" and len(raw) > 2 and not int.from_bytes(raw[:2], "big") % 31:
+        return "zlib", zlib.decompressobj()
+    if raw[:3] == b"BZh":
+        return "bz2", bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\0":
+        return "xz", lzma.LZMADecompressor()
+    return None
+
+
+def _inflate(raw: bytes, limit: int) -> tuple[str, bytes, str | None, bytes] | None:
+    """(layer, data, mark, what follows) of compressed bytes, all members of one kind; the mark says why data isn't
+    all of it; None if they aren't compressed."""
+    name, parts, size, mark = None, [], 0, None
+    while mark is None and (found := _engine(raw)) is not None and name in (None, found[0]):
+        engine = found[1]
+        try:
+            data = engine.decompress(raw, limit - size + 1)
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            break
+        if len(data) > limit - size:
+            name, mark, raw = found[0], "oversized", b""
+            break
+        if not data and not engine.eof:
+            break
+        name, mark = found[0], None if engine.eof else "truncated"
+        parts.append(data)
+        size += len(data)
+        raw = engine.unused_data.lstrip(b"\0") if engine.eof else b""
+    return (name, b"".join(parts), mark, raw) if name else None
+
+
+def _unwrapped(raw: bytes, name: str, limit: int):
+    """What bytes hold: (layers, bytes, mark). Streams are inflated again and again, and what follows a stream is taken by itself."""
+    work, seen = deque([(raw, name)]), set()
+    while work:
+        raw, name = work.popleft()
+        if (key := hashlib.sha1(raw).digest()) in seen:
+            continue
+        seen.add(key)
+        if (inner := _inflate(raw, limit)) is None:
+            yield name, raw, None
+            continue
+        kind, data, mark, rest = inner
+        if mark:
+            yield f"{name}+{kind}", b"", mark
+        work += [x for x in ((data, f"{name}+{kind}"), (rest, name)) if x[0]]
+
+
+def _streams(line: str, at: int, pattern: re.Pattern, decode, name: str, limit: int):
+    """Layers of compressed bytes that stand escaped in a line."""
+    new, starts, ends = _replaced(line, at, pattern, decode)
+    raw, done = new.encode("latin-1", "replace"), 0
+    for m in _MAGIC.finditer(raw):
+        if m.start() < done or (inner := _inflate(raw[m.start() :], limit)) is None:
+            continue
+        kind, data, mark, rest = inner
+        done = len(raw) - len(rest)
+        begin, end = starts[m.start()], ends[done - 1]
+        if mark:
+            yield f"{mark}@{name}+{kind}", None, [begin], [end]
+        for names, part, why in _unwrapped(data, f"{name}+{kind}", limit) if data else ():
+            if why:
+                yield f"{why}@{names}", None, [begin], [end]
+            for plain in _readable(part):
+                yield names, plain, [begin] * len(plain), [end] * len(plain)
 
 
 def _readable(data: bytes) -> list[str]:
@@ -108,6 +161,18 @@ def _unescape(m: re.Match) -> str:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
 
 
+def _percent_bytes(m: re.Match) -> str:
+    return m[0] if m[0] == "+" else bytes.fromhex(m[0].replace("%", "")).decode("latin-1")
+
+
+def _form_bytes(m: re.Match) -> str:
+    return " " if m[0] == "+" else _percent_bytes(m)
+
+
+def _escaped_byte(m: re.Match) -> str:
+    return _SHORT.get(m[7], m[7]) if m.lastindex == 7 else _unescape(m)
+
+
 def _replaced(part: str, at: int, pattern: re.Pattern, decode) -> tuple[str, list[int], list[int]]:
     """part with each match decoded, and for each character of it where it starts and ends in the layer above."""
     out, starts, ends, done = [], [], [], 0
@@ -152,8 +217,11 @@ def layers(text: str, limit: int = MAX_LAYER_CHARS):
     if "%" in text:
         for m in _URL.finditer(text):
             yield "url", *_replaced(m[0], m.start(), _PERCENT, lambda x: bytes.fromhex(x[0].replace("%", "")).decode("utf-8", "replace"))
+            for decode in (_percent_bytes, _form_bytes) if "+" in m[0] else (_percent_bytes,):
+                yield from _streams(m[0], m.start(), _PERCENT_PLUS, decode, "url", limit)
     if "\\" in text or "&#" in text:
         for m in _ESCAPED.finditer(text):
+            yield from _streams(m[0], m.start(), _BYTE, _escaped_byte, "unicode", limit)
             if (new := _replaced(m[0], m.start(), _ESCAPE, _unescape))[0] != m[0]:
                 yield "unicode", *new
     inside: set[int] = set()  # where the lines of wrapped blobs start that are streams to their very end
@@ -170,15 +238,15 @@ def layers(text: str, limit: int = MAX_LAYER_CHARS):
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
         except (binascii.Error, ValueError):
             continue
-        names, size, mark, rest = "base64", len(raw), None, b""
-        while mark is None and (inner := _inflate(raw, limit)) is not None:
-            names, raw, mark, rest = f"{names}+{inner[0]}", inner[1], inner[2], rest or inner[3]
-        if len(runs) > 1 and "+" in names and mark is None and not rest:
+        found = list(_unwrapped(raw, "base64", limit))
+        if len(runs) > 1 and all("+" in names and not mark for names, _, mark in found):
             inside.update(s for s, _ in runs)
-        if mark:
-            yield f"{mark}@{names}", None, [begin], [end]
-        for plain in _readable(raw):
-            if "+" in names or len(plain) != size:  # positions inside are not those of the base64 text
+        for names, part, mark in found:
+            if mark:
+                yield f"{mark}@{names}", None, [begin], [end]
+        size = len(raw)
+        for names, plain in [(names, plain) for names, part, _ in found if part for plain in _readable(part)]:
+            if len(found) > 1 or "+" in names or len(plain) != size:  # positions inside are not those of the base64 text
                 yield names, plain, [begin] * len(plain), [end] * len(plain)
             else:
                 at = [k for s, e in runs for k in range(s, e)] + [end]

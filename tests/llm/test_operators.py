@@ -298,3 +298,19 @@ def test_secrets_beside_unreadable_bytes(junk):
     for code in ("utf-16", "utf-16-le", "utf-16-be"):
         assert "assign@base64" in [k for k, _, _ in secrets.scan(base64.b64encode("password = hunter22222".encode(code)).decode())[1]]
     assert secrets.scan(base64.b64encode(bytes(range(128, 160))).decode())[2] == 0
+
+
+@pytest.mark.parametrize("pack,name", [(gzip.compress, "gzip"), (zlib.compress, "zlib"), (bz2.compress, "bz2"), (lzma.compress, "xz")])
+def test_secrets_in_all_members_and_escaped_streams(pack, name):
+    noise = "".join(hashlib.sha256(b"%d" % k).hexdigest()[:9] + " " for k in range(20))
+    one, two = pack(noise.encode()), pack(f"{noise} password = hunter22222 {noise}".encode())
+    kinds = lambda text, limit=1 << 20: [k for k, _, _ in secrets.scan(text, limit)[1]]
+    assert f"assign@base64+{name}" in kinds(base64.b64encode(one + two).decode())
+    assert "assign@base64" in kinds(base64.b64encode(one + b" password = hunter22222").decode())
+    over = kinds(base64.b64encode(pack(b"password = hunter22222") + one * 9).decode(), 300)
+    assert f"oversized@base64+{name}" in over and f"assign@base64+{name}" in over
+    for escaped in (urllib.parse.quote(two), urllib.parse.quote_plus(two)):
+        text = f"get a?b={escaped} now"
+        assert (f"assign@url+{name}", 8, 8 + len(escaped)) in secrets.scan(text)[1]
+    for escaped in (repr(two)[2:-1], "".join(f"{chr(92)}x{b:02x}" for b in two)):
+        assert (f"assign@unicode+{name}", 2, 2 + len(escaped)) in secrets.scan(f"b'{escaped}' end")[1]
