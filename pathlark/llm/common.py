@@ -1,37 +1,73 @@
-"""What the training-data operators share: reading tables, checkpoints, word rules."""
+"""What the training-data operators share: reading tables, checkpoints, portions of batches, word rules."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of whole texts that cross to Python at a time. Bounds a worker's memory.
-ROWS_PER_BATCH = 256
+#: Bytes of text that Python code handles at a time. A batch from Spark has up to spark.sql.execution.arrow.maxBytesPerBatch.
+PORTION_BYTES, PORTION_ROWS = 1 << 20, 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole input table, through Spark's reader only."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def portions(batches: Iterable[pa.RecordBatch], column: str = "text", nbytes: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in batches of about `nbytes` of one column (a longer text stands alone), whatever Spark's batch size."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_pylist()
+        start = held = 0
+        for k, n in enumerate(size):
+            if k > start and (held + n > nbytes or k - start >= PORTION_ROWS):
+                yield b.slice(start, k - start)
+                start, held = k, 0
+            held += n
+        if start < b.num_rows:
+            yield b.slice(start)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="pathlark-")
+        _on_exit(spark, found)
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
+        _on_exit(spark, sc.getCheckpointDir())
     return found
 
 
+def _on_exit(spark: SparkSession, path: str) -> None:
+    """Has a folder deleted when the driver's JVM ends."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for a table between two steps. It is deleted when the driver ends, as results may read it until then."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _on_exit(spark, path)
+    return f"{path}/table"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the shared folder; survives the loss of any executor."""
     shared_dir(df.sparkSession)

@@ -1,14 +1,17 @@
 """Lexical retrieval packing: documents into sequences of at most ``SEQ`` tokens, with BM25 neighbours.
 
-Tokens: the ids of a public tokenizer file, then one end id. The exact ids are computed per word: no token
-crosses white space, so words that only have ASCII and Latin-1 letters are merged in numpy, many at a
-time and each distinct word once per batch; all other words go through the tokenizer itself.
-
-Full stretches of SEQ tokens become sequences of their own where the text is read. Only the remainders (under
-SEQ tokens each) are shuffled, to shards by a hash, about ``SHARD_TOKENS`` tokens each whatever the
-size of the corpus. A shard holds a BM25 inverted index of its remainders. A seed (the first unused one) opens a
-sequence; its unused neighbours by BM25 fill it in order of score, the last one cut where the sequence is full; what is cut off
-is the next seed. So only the last sequence of a shard is short.
+Tokens: the ids of a public tokenizer file, then one end id. The ids are exact. For vocabularies with word ends no token
+crosses white space, so each distinct piece of a word is merged once, in numpy; words with other than ASCII and Latin-1
+letters go through the tokenizer itself, and so does everything for files of other kinds.
+
+Full stretches of SEQ tokens become sequences of their own where the text is read. The remainders (under SEQ tokens each)
+go to shards of about ``SHARD_TOKENS`` tokens, whatever the size of the corpus, by a lexical key: each has the token of
+the lowest rank in a fixed order that favours rare ones (weighted min-hash), so two remainders have the same key as
+often as their weighted sets of tokens overlap. Keys with few tokens share a shard, keys with many are parted into several; their
+sizes are counted first, at most one row for each token of the vocabulary. A shard holds a BM25 inverted
+index of its remainders. A seed (the first unused one) opens a sequence; its unused neighbours by BM25 fill it in order of
+score, the last one cut where the sequence is full; what is cut off is the next seed. So only the last sequence of a
+shard is short. Neighbours in other shards aren't seen: README says how many that loses.
 
 Nulls: a null text is empty and is its end id. Rows are packed as they are, so repeated rows and ids
 are packed again; null ids are carried through. An empty table gives no pieces. Extra columns are
@@ -17,21 +20,34 @@ ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from itertools import count, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEQ, END, SHARD_TOKENS, K1, B = 2048, 1, 1 << 20, 1.2, 0.75
+from . import common
+
+SEQ, END, SHARD_TOKENS, K1, B, POWER, PORTION = 2048, 1, 1 << 20, 1.2, 0.75, 3.0, 1 << 22
 TOKENIZER = "word_bpe_49k.json"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_SAFE = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+NEVER = (1 << 31) - 1
+_BLANK, _LETTER, _DIGIT, _SIGN, _QUOTE, _FOREIGN = range(6)
+#: What makes a word one for the tokenizer itself; no piece that is cut here has it.
+_OTHER = re.compile(rb"'|<\||[^!-~\xc3\x80-\xbf]|\xc3[\x97\xb7]|(?<!\xc3)[\x80-\xbf]|\xc3(?![\x80-\xbf])")
+_KIND = np.full(256, _FOREIGN, np.uint8)
+_KIND[33:127] = _SIGN
+_KIND[48:58] = _DIGIT
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[[9, 10, 11, 12, 13, 32]] = _BLANK
+_KIND[39] = _QUOTE
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] += 32
 
 
 def default_path() -> str:
@@ -48,30 +64,31 @@ def _byte_letters() -> list[str]:
 
 
 class WordTokens:
-    """Exact token ids of texts, word by word, for a lower-casing byte-level BPE with word ends."""
+    """Exact token ids of texts, piece by piece, for a lower-casing byte-level BPE with word ends.
 
-    def __init__(self, path: str, cache_words: int = 150_000):
-        import json
+    Texts are lower-cased and cut into pieces as arrays of bytes, a whole portion at once; each distinct piece is
+    merged once and remembered, up to ``cache_pieces`` of them.
+    """
 
+    def __init__(self, path: str, cache_pieces: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab = model["vocab"]
+        self.n_ids = max(vocab.values()) + 1
         letters = _byte_letters()
         self.alone = np.array([vocab[c] for c in letters], np.int64)
         self.final = np.array([vocab[c + "</w>"] for c in letters], np.int64)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         key = np.array([vocab[a] << 17 | vocab[b] for a, b in pairs], np.int64)
-        order = np.argsort(key)
-        self.keys, self.rank = key[order], order.astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         # an open hash of the pairs: one probe as a rule
         bits = 18
         self.mask = (1 << bits) - 1
         self.slot_key = np.full(1 << bits, -1, np.int64)
-        self.slot_rank = np.full(1 << bits, 1 << 40, np.int64)
+        self.slot_rank = np.full(1 << bits, NEVER, np.int32)
         left, self.probes = np.arange(len(key)), 0
         while len(left):
             at = self._slot(key[left], self.probes)
@@ -82,122 +99,213 @@ class WordTokens:
             self.slot_key[at[put]], self.slot_rank[at[put]] = key[left[put]], left[put]
             left = left[~put]
             self.probes += 1
-        self.limit, self.cache = cache_words, {}
-        self.ids, self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.limit = cache_pieces
+        self._forget()
+
+    def _forget(self) -> None:
+        self.cache: dict[bytes, int] = {}
+        self.ids, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _slot(self, key: np.ndarray, probe: int) -> np.ndarray:
         return ((key * 0x2545F4914F6CDD1D >> 29) + probe * ((key * 0x9E3779B1 >> 11) | 1)) & self.mask
 
-    def _ranks(self, key: np.ndarray) -> np.ndarray:
-        out = np.full(len(key), 1 << 40, np.int64)
-        todo = np.arange(len(key))
-        for probe in range(self.probes):
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Merge ranks of pairs of symbols, NEVER if there is no such merge."""
+        key = left.astype(np.int64) << 17 | right
+        at = self._slot(key, 0)
+        held = self.slot_key[at]
+        out = np.where(held == key, self.slot_rank[at], NEVER)
+        todo = np.flatnonzero((held != key) & (held >= 0))
+        for probe in range(1, self.probes):
+            if not len(todo):
+                break
             at = self._slot(key[todo], probe)
             held = self.slot_key[at]
             hit = held == key[todo]
             out[todo[hit]] = self.slot_rank[at[hit]]
             todo = todo[~hit & (held >= 0)]
-            if not len(todo):
-                break
         return out
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids in one array, number per piece) of pieces of bytes, merged by rank, all at once."""
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         raw = np.frombuffer(b"".join(pieces), np.uint8)
-        sym = self.alone[raw]
+        sym = self.alone[raw].astype(np.int32)
         last = np.cumsum(size) - 1
         sym[last] = self.final[raw[last]]
-        owner = np.repeat(np.arange(len(pieces)), size)
+        owner = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
+        pair = np.full(len(sym), NEVER, np.int32)  # of each symbol with the next one of its piece
+        pair[:-1] = self._ranks(sym[:-1], sym[1:])
+        pair[last] = NEVER
         done_sym, done_own = [], []
         while len(sym):
-            pair = np.full(len(sym), 1 << 40, np.int64)
-            inner = np.flatnonzero(owner[1:] == owner[:-1])
-            pair[inner] = self._ranks(sym[inner] << 17 | sym[inner + 1])
             begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             best = np.minimum.reduceat(pair, begin)
-            count = np.diff(np.append(begin, len(sym)))
-            mine = np.repeat(best, count)
-            over = mine >= 1 << 40
+            mine = np.repeat(best, np.diff(np.append(begin, len(sym))))
+            over = mine == NEVER
             if over.any():  # nothing left to merge in these pieces
                 done_sym.append(sym[over])
                 done_own.append(owner[over])
-                sym, owner, pair, mine = sym[~over], owner[~over], pair[~over], mine[~over]
+                live = ~over
+                sym, owner, pair, mine = sym[live], owner[live], pair[live], mine[live]
                 if not len(sym):
                     break
-            hit = pair == mine
-            # runs of overlapping hits (aaa): every second one, from the left
-            at = np.flatnonzero(hit)
-            run = np.concatenate([[True], np.diff(at) != 1])
-            within = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-            at = at[within % 2 == 0]
+            at = np.flatnonzero(pair == mine)
+            close = np.diff(at) == 1
+            if close.any():  # runs of overlapping hits (aaa): every second one, from the left
+                run = np.concatenate([[True], ~close])
+                within = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+                at = at[within % 2 == 0]
             sym[at] = self.made[mine[at]]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
-            sym, owner = sym[keep], owner[keep]
+            sym, owner, pair = sym[keep], owner[keep], pair[keep]
+            at = at - np.arange(len(at))  # where the merged ones are now; only their pairs have changed
+            redo = np.concatenate([at, at[at > 0] - 1])
+            inner = redo + 1 < len(sym)
+            pair[redo[~inner]] = NEVER
+            redo = redo[inner]
+            same = owner[redo] == owner[redo + 1]
+            pair[redo[~same]] = NEVER
+            redo = redo[same]
+            pair[redo] = self._ranks(sym[redo], sym[redo + 1])
+        if not done_sym:
+            return np.zeros(0, np.int32), np.zeros(len(pieces), np.int64)
         sym, owner = np.concatenate(done_sym), np.concatenate(done_own)
         order = np.argsort(owner, kind="stable")
         return sym[order], np.bincount(owner, minlength=len(pieces))
 
-    def _add(self, words: list[bytes]) -> None:
-        """Learns the ids of new words."""
-        pieces, many, other = [], np.zeros(len(words), np.int64), []
-        for k, w in enumerate(words):
-            if w.isalpha():  # of bytes: ASCII letters only
-                pieces.append(w.lower())
-                many[k] = 1
-            elif w[-1] in b".,;:!?" and w[:-1].isalpha():
-                pieces += (w[:-1].lower(), w[-1:])
-                many[k] = 2
-            elif _SAFE.fullmatch(w) and b"<|" not in w:
-                low = w.decode("utf-8").lower()
-                if low.isalpha():
-                    pieces.append(low.encode("utf-8"))
-                    many[k] = 1
-                else:
-                    found = _SPLIT.findall(low)
-                    pieces += [x.encode("utf-8") for x in found]
-                    many[k] = len(found)
-            else:
-                other.append(k)
-        ids, count = self.merge(pieces) if pieces else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        owner = np.repeat(np.arange(len(words)), many)
-        per = np.bincount(owner, weights=count, minlength=len(words)).astype(np.int64)
-        start = np.cumsum(per) - per
+    def _add(self, pieces: list[bytes]) -> None:
+        """Learns the ids of new pieces: plain ones are merged, words with quotes or other letters go through the tokenizer."""
+        other = [k for k, w in enumerate(pieces) if _OTHER.search(w)]
+        if len(other) < len(pieces):
+            plain = pieces
+            if other:
+                mark = np.ones(len(pieces), bool)
+                mark[other] = False
+                plain = [pieces[k] for k in np.flatnonzero(mark)]
+            ids, count = self.merge(plain)
+        else:
+            ids, count = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        size, start = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        mark = np.ones(len(pieces), bool)
+        mark[other] = False
+        size[mark], start[mark] = count, np.cumsum(count) - count
         if other:
-            enc = self.tokenizer.encode_batch([words[k].decode("utf-8") for k in other], add_special_tokens=False)
-            extra = [np.array(e.ids, np.int64) for e in enc]
-            at = len(ids)
-            for k, e in zip(other, extra):
-                start[k], per[k] = at, len(e)
-                at += len(e)
+            enc = self.tokenizer.encode_batch([pieces[k].decode("utf-8") for k in other], add_special_tokens=False)
+            extra = [np.array(e.ids, np.int32) for e in enc]
+            size[other] = [len(e) for e in extra]
+            start[other] = len(ids) + np.cumsum(size[other]) - size[other]
             ids = np.concatenate([ids, *extra])
         base = len(self.ids)
         self.ids = np.concatenate([self.ids, ids])
-        self.start, self.size = np.concatenate([self.start, start + base]), np.concatenate([self.size, per])
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text, with the end id."""
-        if len(self.cache) > self.limit:
-            self.cache = {}
-            self.ids, self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        cache, rows, sizes, known = self.cache, [], [], len(self.cache)
-        for text in texts:
-            words = (text or "").encode("utf-8").split()
-            rows += [cache.setdefault(w, len(cache)) for w in words]
-            sizes.append(len(words))
+        self.start, self.size = np.concatenate([self.start, start + base]), np.concatenate([self.size, size])
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in one array, each followed by the end id; where each text ends)."""
+        data, ends = _flat(texts)
+        pieces, per_text = _pieces(data, ends)
+        coded = pieces.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if len(self.cache) + len(names) > self.limit:
+            self._forget()
+        cache, known = self.cache, len(self.cache)
+        place = np.fromiter((cache.setdefault(w, len(cache)) for w in names), np.int64, len(names))
         if len(cache) > known:
             self._add(list(islice(cache, known, None)))
-        rows = np.array(rows, np.int64)
-        size = self.size[rows]
-        out = np.repeat(self.start[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        flat = self.ids[out].astype(np.uint16)
-        cut = np.concatenate([[0], np.cumsum(size)])[np.cumsum(sizes)] if len(rows) else np.zeros(len(texts), np.int64)
-        parts, at = [], 0
-        for end in cut:
-            parts.append(np.append(flat[at:end], np.uint16(END)))
-            at = int(end)
-        return parts
+        rows = place[np.frombuffer(coded.indices.buffers()[1], np.int32, len(pieces))]
+        # the end id counts as one more piece after each text
+        closing = np.cumsum(per_text) + np.arange(len(per_text))
+        inner = np.ones(len(rows) + len(per_text), bool)
+        inner[closing] = False
+        size, begin = np.ones(len(inner), np.int64), np.zeros(len(inner), np.int64)
+        size[inner], begin[inner] = self.size[rows], self.start[rows]
+        stop = np.cumsum(size)
+        at = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(begin - (stop - size), size)
+        flat = self.ids[np.minimum(at, len(self.ids) - 1)] if len(self.ids) else np.zeros(len(at), np.int32)
+        stop = stop[closing]
+        flat[stop - 1] = END
+        return flat, stop
+
+
+class PlainTokens:
+    """Ids of texts by the tokenizer itself, for files of other kinds."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.n_ids = self.tokenizer.get_vocab_size()
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        enc = self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+        ids = [np.array([*e.ids, END], np.int32) for e in enc]
+        return np.concatenate([np.zeros(0, np.int32), *ids]), np.cumsum([len(x) for x in ids], dtype=np.int64)
+
+
+def tokens_of(path: str) -> WordTokens | PlainTokens:
+    """The reader of a tokenizer file. It and what it has learned are kept in the worker, for its later tasks."""
+    if path not in _READERS:
+        with open(path, encoding="utf-8") as f:
+            whole = json.load(f)
+        words = whole["model"].get("end_of_word_suffix") == "</w>" and "Lowercase" in json.dumps(whole.get("normalizer"))
+        _READERS.clear()
+        _READERS[path] = WordTokens(path) if words else PlainTokens(path)
+    return _READERS[path]
+
+
+_READERS: dict[str, WordTokens | PlainTokens] = {}
+
+
+def _flat(texts) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, where each text ends) of an Arrow array of strings; null is empty."""
+    texts = texts.fill_null("") if texts.null_count else texts
+    wide = pa.types.is_large_string(texts.type)
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None and len(texts) else np.zeros(0, np.uint8)
+    return raw, ends[1:] - ends[0]
+
+
+def _pieces(raw: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(pieces in order, number per text). Words of ASCII and Latin-1 letters are lower-cased and cut into runs of
+    letters, single digits and runs of signs; words with a quote, other characters or <| stay whole, as they are."""
+    if not len(raw):
+        return pa.array([], pa.binary()), np.zeros(len(ends), np.int64)
+    kind, low = _KIND[raw], _LOW[raw]
+    latin = np.flatnonzero(raw[:-1] == 0xC3)
+    if len(latin):
+        after = raw[latin + 1]
+        letter = (after != 0x97) & (after != 0xB7)
+        kind[latin[letter]] = kind[latin[letter] + 1] = _LETTER
+        low[latin + 1] += ((after < 0x9F) & letter).astype(np.uint8) * 32
+    begins = np.zeros(len(raw), bool)
+    starts = np.concatenate([[0], ends[:-1]])
+    begins[starts[starts < len(raw)]] = True
+    solid = kind != _BLANK
+    word = solid.copy()
+    word[1:] &= ~solid[:-1] | begins[1:]
+    first = word.copy()
+    first[1:] |= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    first &= solid
+    odd = kind >= _QUOTE
+    odd[:-1] |= (raw[:-1] == 60) & (raw[1:] == 124)
+    odd = np.flatnonzero(odd)
+    if len(odd):
+        at = np.flatnonzero(word)
+        bad = np.unique(np.searchsorted(at, odd, "right") - 1)
+        gap = np.flatnonzero(~solid | word)  # a word ends at the next blank or word
+        stop = np.append(gap, len(raw))[np.searchsorted(gap, at[bad], "right")]
+        size = stop - at[bad]
+        inside = np.repeat(at[bad] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        first[inside] = False
+        first[at[bad]] = True
+        low[inside] = raw[inside]
+    body = low[solid]
+    offsets = np.append(np.flatnonzero(first[solid]), len(body)).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+    upto = np.concatenate([[0], np.cumsum(first, dtype=np.int64)])[ends]
+    return found, np.diff(upto, prepend=0)
 
 
 def crc(ids: np.ndarray) -> int:
@@ -242,81 +350,136 @@ def pack_shard(docs: list[np.ndarray], seq: int = SEQ) -> list[tuple[int, int, i
             unused[seed] = False
         size = len(docs[seed]) - at
         out.append((seed, at, size, number, 0))
-        room, near = seq - size, None
-        rest = (-1, 0)
-        while room and (near is None or len(near)):
-            if near is None:
-                s = index.scores(docs[seed])
+        room, rest, score, near = seq - size, (-1, 0), None, ()
+        while room:
+            if not len(near):
                 near = np.flatnonzero(unused)
-                if len(near) > 64:  # each takes a token at least, the nearest are enough nearly always
-                    near = near[np.argpartition(-s[near], 63)[:64]]
-                near = near[np.argsort(-s[near], kind="stable")]
                 if not len(near):
                     break
-            k, near = int(near[0]), near[1:]
+                # each takes a token at least: a few do as a rule, and as many as there are places always
+                most = room if score is not None else min(room, 64)
+                score = index.scores(docs[seed]) if score is None else score
+                if len(near) > most:
+                    near = _nearest(score, near, most)
+                near = near[np.argsort(-score[near], kind="stable")].tolist()
+                near.reverse()
+            k = near.pop()
             take = min(room, len(docs[k]))
             out.append((k, 0, take, number, seq - room))
             unused[k] = False
             room -= take
             if take < len(docs[k]):
                 rest = (k, take)
-            elif room and not len(near):
-                near = None
         number += 1
         seed, at = rest
 
 
+def _nearest(score: np.ndarray, among: np.ndarray, n: int) -> np.ndarray:
+    """The n of `among` (ascending) with the highest scores; of equal scores the first ones."""
+    s = score[among]
+    edge = np.partition(s, len(s) - n)[len(s) - n]
+    keep = s > edge
+    tied = np.flatnonzero(s == edge)
+    keep[tied[: n - int(keep.sum())]] = True
+    return among[keep]
+
+
+def priorities(n_ids: int, seed: int = 11) -> np.ndarray:
+    """A rank for every token id. A document's key is its token of the lowest rank: weighted min-hash, with
+    weights that grow as tokens get rarer (merge vocabularies list frequent ones first)."""
+    u = np.random.default_rng(seed).random(n_ids)
+    weight = np.log1p(np.arange(n_ids) / 512.0) ** POWER
+    return np.argsort(np.argsort(-np.log(u) / np.maximum(weight, 1e-9), kind="stable")).astype(np.int32)
+
+
+def shards_of(tokens: dict[int, int], shard_tokens: int) -> list[tuple[int, int, int]]:
+    """(key, first shard, number of shards) of keys with so many tokens each: small ones share a shard, large ones get several."""
+    out, shard, held = [], 0, 0
+    for key, n in sorted(tokens.items()):
+        many = -(-n // shard_tokens)
+        if many > 1 or held + n > shard_tokens:
+            shard, held = shard + (held > 0), 0
+        out.append((key, shard, many))
+        if many > 1:
+            shard += many
+        else:
+            held += n
+    return out
+
+
+def _tokenized(documents: DataFrame, path: str, seq: int) -> DataFrame:
+    """Full stretches (key is null, no ids), and remainders with their ids, key and a number that parts equal ones."""
+    schema = "doc_id long, start long, length long, crc long, doc_tokens long, key int, salt long, ids binary"
+
+    def run(batches):
+        tokens = tokens_of(path)
+        rank = priorities(tokens.n_ids)
+        width = np.dtype("<u2" if tokens.n_ids <= 1 << 16 else "<u4")
+        salt = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        for b in common.portions(batches, nbytes=PORTION):
+            flat, stop = tokens.encode(b.column("text"))
+            n = np.diff(stop, prepend=0)
+            many = -(-n // seq)
+            doc = np.repeat(np.arange(len(n)), many)
+            first = np.cumsum(many) - many
+            start = (np.arange(len(doc)) - first[doc]) * seq
+            length = np.minimum(seq, n[doc] - start)
+            begin = (stop - n)[doc] + start
+            full = length == seq
+            words = np.ascontiguousarray(flat, "<u4")
+            crcs = np.zeros(len(doc), np.int64)
+            for k in np.flatnonzero(full):
+                crcs[k] = zlib.crc32(words[begin[k] : begin[k] + seq])
+            keys, size = np.zeros(len(doc), np.int32), np.where(full, 0, length)
+            part = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            left = flat[part]
+            if len(left):
+                keys[~full] = np.minimum.reduceat(rank[left], (np.cumsum(size) - size)[~full])
+            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64) * width.itemsize
+            ids = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(offsets), pa.py_buffer(left.astype(width))]).cast(pa.binary())
+            cols = [b.column("doc_id").cast(pa.int64()).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crcs, mask=~full), pa.array(n[doc]), pa.array(keys, mask=full), pa.array(salt + np.arange(len(doc))), ids]
+            salt += len(doc)
+            yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in schema.split(", ")])
+
+    return documents.select("doc_id", "text").mapInArrow(run, schema)
+
+
 def pack(documents: DataFrame, path: str | None = None, seq: int = SEQ, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per piece; see SCHEMA."""
     path = path or default_path()
     spark = documents.sparkSession
-    chars = documents.agg(F.sum(F.length("text")).alias("n"), F.count(F.lit(1)).alias("rows")).first()
-    shards = max(1, round(((chars["n"] or 0) / 2.7 + chars["rows"]) / shard_tokens))
-
-    def tokenize(batches):
-        tokens = None
-        for b in batches:
-            tokens = tokens or WordTokens(path)
-            rows = []
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), tokens.encode(b.column("text").to_pylist())):
-                full = len(ids) // seq * seq
-                for at in range(0, full, seq):
-                    rows.append((doc_id, at, seq, crc(ids[at : at + seq]), len(ids), None))
-                if full < len(ids):
-                    rows.append((doc_id, full, len(ids) - full, None, len(ids), ids[full:].astype("<u2").tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 5 + [pa.binary()])], ["doc_id", "start", "length", "crc", "doc_tokens", "ids"])
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    made = common.scratch(spark, "pieces")
+    _tokenized(documents, path, seq).write.parquet(made)
+    pieces = spark.read.parquet(made)
 
     def place(batches):
-        pos = {"shard": -1}
-        held: list[tuple] = []
+        width = None
+        shard, held = -1, []
 
         def flush():
-            rest = sorted((x for x in held if x[5] is not None), key=lambda x: (x[0] is None, x[0] or 0, x[1], x[5]))
-            whole = [x for x in held if x[5] is None]
-            docs = [np.frombuffer(x[5], "<u2") for x in rest]
-            rows = []
-            base = pos["shard"] << 32
-            for k, at, size, number, offset in pack_shard(docs, seq) if docs else []:
-                d = rest[k]
-                rows.append((d[0], d[1] + at, size, crc(docs[k][at : at + size]), d[4], base + number, offset))
-            number = count(max((r[5] for r in rows), default=base - 1) + 1)
-            rows += [(x[0], x[1], x[2], x[3], x[4], next(number), 0) for x in sorted(whole, key=lambda x: (x[0] is None, x[0] or 0, x[1], x[3]))]
+            rest = sorted(held, key=lambda x: (x[0] is None, x[0] or 0, x[1], x[3]))
+            docs = [np.frombuffer(x[3], width) for x in rest]
+            rows = [(rest[k][0], rest[k][1] + at, size, crc(docs[k][at : at + size]), rest[k][2], (shard << 32) + number, offset) for k, at, size, number, offset in pack_shard(docs, seq)]
             held.clear()
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
-        for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_id", "start", "length", "crc", "doc_tokens", "ids"))):
-                if row[0] != pos["shard"]:
+        for b in common.portions(batches, "ids"):
+            for to, doc_id, start, length, total, ids in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_id", "start", "length", "doc_tokens", "ids"))):
+                if to != shard:
                     if held:
                         yield flush()
-                    pos["shard"] = row[0]
-                held.append(row[1:])
+                    shard = to
+                width = width or ("<u2" if len(ids) == 2 * length else "<u4")
+                held.append((doc_id, start, total, ids))
         if held:
             yield flush()
 
-    pieces = documents.select("doc_id", "text").mapInArrow(tokenize, "doc_id long, start long, length long, crc long, doc_tokens long, ids binary")
-    shard = F.pmod(F.xxhash64("doc_id", "start", F.crc32("ids")), F.lit(shards)).cast("int")
-    laid = pieces.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard")
-    return laid.mapInArrow(place, SCHEMA)
+    # one row for each token of the vocabulary at most
+    tokens = {r["key"]: r["n"] for r in pieces.where("key IS NOT NULL").groupBy("key").agg(F.sum("length").alias("n")).collect()}
+    plan = spark.createDataFrame(pa.table(dict(zip(("to_key", "shard", "many"), (pa.array(c, pa.int32()) for c in (zip(*shards_of(tokens, shard_tokens)) if tokens else ([], [], [])))))))
+    rest = pieces.where("key IS NOT NULL").join(F.broadcast(plan), F.col("key") == F.col("to_key"))
+    shard = (F.col("shard") + F.pmod(F.xxhash64("salt"), F.col("many"))).cast("int")
+    laid = rest.select(shard.alias("shard"), "doc_id", "start", "length", "doc_tokens", "ids").repartition("shard").sortWithinPartitions("shard")
+    full = pieces.where("key IS NULL").select("doc_id", "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return full.unionByName(laid.mapInArrow(place, SCHEMA))

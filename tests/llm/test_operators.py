@@ -13,6 +13,8 @@ import urllib.parse
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import SF, compare
 from pyspark.sql import functions as F
@@ -178,8 +180,6 @@ def test_packing_is_exact(spark):
     src = spark.read.parquet(f"{SF}/documents.parquet")
     ids = {r.doc_id: [*tok.encode(r.text or "", add_special_tokens=False).ids, 1] for r in src.collect()}
     rows = queries.QUERIES["op10_bm25_packing"](spark, SF).collect()
-    import numpy as np
-
     seen, filled = Counter(), defaultdict(list)
     for r in rows:
         part = ids[r.doc_id][r.start : r.start + r.length]
@@ -196,12 +196,71 @@ def test_packing_is_exact(spark):
     assert sum(map(len, ids.values())) / (2048 * len(filled)) > 0.97
 
 
-def test_tokens_of_odd_words():
+def test_tokens_of_odd_words(spark):
     from tokenizers import Tokenizer
 
     tok, own = Tokenizer.from_file(packing.default_path()), packing.WordTokens(packing.default_path())
-    texts = ["It's they'LL 12,345 a1b2 --x--", "ÉCOLE straße İstanbul ǅ", "<|endoftext|> a<|b", "日本語 text \U0001f600‍", " x y", "aaaaaaaa" * 50, ""]
-    assert [list(x) for x in own.encode(texts)] == [[*tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    odd = [None, "", " ", "It's they'LL 12,345 a1b2 --x-- '' 's", "ÉCOLE straße İstanbul ǅ À×÷Ö", "<|endoftext|> a<|b <| |>", "日本語 text \U0001f600‍", "\xa0x\x85y\x1c\x7f \x0bz", "aaaaaaaa" * 50, "<", "|", "Ã", "¿Qué?", "10² ½", ""]
+    real = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for texts in (odd, real, []):
+        flat, stop = own.encode(pa.array(texts, pa.string()))
+        want = [[*tok.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+        assert [list(x) for x in np.split(flat, stop[:-1])][: len(texts)] == want
+    sliced = pa.array(["no", *odd, "no"], pa.string()).slice(1, len(odd))
+    assert [int(x) for x in own.encode(sliced)[0]] == [i for t in odd for i in [*tok.encode(t or "", add_special_tokens=False).ids, 1]]
+    own.limit = 10  # forgets at every portion
+    assert list(own.encode(sliced)[0]) == [i for t in odd for i in [*tok.encode(t or "", add_special_tokens=False).ids, 1]]
+
+
+def brute_bm25(docs, query):
+    """Scores of all documents for the distinct terms of a query, from the formula."""
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    df = Counter(t for d in docs for t in set(d))
+    return [sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * d.count(t) * 2.2 / (d.count(t) + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in set(query) if t in d) for d in docs]
+
+
+@pytest.mark.parametrize("seq,sizes,n", [(64, (1, 40), 120), (16, (1, 1), 200), (200, (1, 3), 300), (32, (5, 31), 1)])
+def test_packing_takes_the_best_neighbours(seq, sizes, n):
+    """Every sequence holds its seed, then the unused documents in order of BM25, the last one cut."""
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 30, rng.integers(sizes[0], sizes[1] + 1)).tolist() for _ in range(n)]
+    pieces = packing.pack_shard([np.array(d, np.uint16) for d in docs], seq)
+    unused, want, number, rest = list(range(n)), [], 0, None
+    while unused or rest:
+        k, at = rest or (unused.pop(0), 0)
+        want.append((k, at, len(docs[k]) - at, number, 0))
+        room, rest, scores = seq - len(docs[k]) + at, None, brute_bm25(docs, docs[k])
+        for j in sorted(unused, key=lambda j: (-round(scores[j], 9), j)):
+            if not room:
+                break
+            take = min(room, len(docs[j]))
+            want.append((j, 0, take, number, seq - room))
+            unused.remove(j)
+            room -= take
+            rest = (j, take) if take < len(docs[j]) else None
+        number += 1
+    by = defaultdict(list)
+    for got, goal in zip(pieces, want, strict=True):
+        by[got[3]].append((got, goal))
+    for pairs in by.values():
+        scores = brute_bm25(docs, docs[pairs[0][1][0]])
+        assert [g[3:] for g, _ in pairs] == [w[3:] for _, w in pairs] or all(math.isclose(scores[g[0]], scores[w[0]], rel_tol=1e-9) for g, w in pairs)
+        for g, w in pairs:
+            assert g == w or math.isclose(scores[g[0]], scores[w[0]], rel_tol=1e-9)
+
+
+def test_packing_shards():
+    plan = packing.shards_of({3: 10, 1: 95, 2: 5, 9: 250, 4: 60, 5: 60}, 100)
+    assert plan == [(1, 0, 1), (2, 0, 1), (3, 1, 1), (4, 1, 1), (5, 2, 1), (9, 3, 3)]
+    rank = packing.priorities(1000)
+    assert sorted(rank) == list(range(1000)) and (rank == packing.priorities(1000)).all()
+
+
+def test_packing_parts_equal_rows(spark):
+    rows = docs(spark, *[(7, "one two three four", "s")] * 400, *[(k, f"tok{k}", "s") for k in range(50)])
+    got = packing.pack(rows, seq=64, shard_tokens=256).collect()
+    assert sum(r.length for r in got) == sum(r.doc_tokens for r in got if r.start == 0) and sum(r.start == 0 for r in got) == 450
+    assert len({r.sequence_id >> 32 for r in got}) > 5 and packing.PlainTokens(packing.default_path()).encode(pa.array(["a b", None]))[1].tolist() == [3, 4]
 
 
 def test_pipeline(spark):
