@@ -5,8 +5,9 @@ at least ``min_pages`` of them, is boilerplate there and is dropped from all of
 compared without surrounding white space; blank lines stay.
 
 Per (host, line hash) counts are partial sums before the shuffle, and what is kept of them is
-bounded for each host: at most (lines per page) / max_ratio lines can pass. The texts meet these
-lists in a join on the host that Spark may split at a hot host; no window or list by host holds pages.
+bounded for each host: at most (lines per page) / max_ratio lines can pass. These lists are written and counted; small ones
+are broadcast, so no text is shuffled, and others meet the texts in a salted join, so a hot host is dealt over many
+tasks. No window or list by host holds pages.
 
 A ratio can't see a line of a few documents in a large site. `drop_repeats` adds an absolute count: a line of
 ``MIN_WORDS`` words or more on ``MIN_DOCS`` rows of a site stays in the first of them (by id) only. One
@@ -14,7 +15,7 @@ place keeps it, so copies of a document don't erase each other. It is matched by
 
 Nulls: a null text stays null with no lines; pages without a host form one site. Repeated rows
 count as the pages that they are. An empty table gives an empty result. Other columns stay as
-they are, whatever their names (working columns start with ``_ld_``).
+they are, but for ``n_lines`` and ``n_dropped``, which are the result's (working columns start with ``_ld_``).
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from . import common
 
 MAX_RATIO, MIN_PAGES = 0.1, 5
 MIN_DOCS, MIN_WORDS = 5, 5
-BREAKS = r"(?i)<(?:/?(?:p|div|ul|ol|li|h[1-6]|nav|footer|header|article|section|table|tr|br|title|body|head|html)\b[^>]*)>"
+BREAKS = r"(?i)<(?:/?(?:p|div|ul|ol|li|h[1-6]|nav|footer|header|article|section|table|tr|br|title|body|head|html)\b[^<>]*)>"
+#: Lists of hosts are broadcast up to so many lines; they are counted first. Beyond, they meet the pages in a join on host and one of SALTS numbers.
+BROADCAST_LINES, SALTS = 500_000, 32
 
 
 def host_of(url: Column) -> Column:
@@ -35,10 +38,11 @@ def host_of(url: Column) -> Column:
 
 
 def html_lines(html: Column) -> Column:
-    """The text of a page, a line for each block."""
-    text = F.regexp_replace(html, r"(?is)<(?:script|style)\b.*?</(?:script|style)>|<!--.*?-->", "")
+    """The text of a page, a line for each block. Each pattern takes time linear in the page, whatever it holds: an open
+    script or comment reaches to its end, a tag to the next < or >, and blanks are only taken from where they begin."""
+    text = F.regexp_replace(html, r"(?is)<(?:script|style)\b.*?(?:</(?:script|style)>|\z)|<!--.*?(?:-->|\z)", "")
     text = F.regexp_replace(text, BREAKS, "\n")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", ""), r"\s*\n\s*", "\n"), F.lit("\n"))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^<>]*>", ""), r"(?<![\t\n\f\r ])[\t\f\r ]*+\n[\t\n\f\r ]*+", "\n"), F.lit("\n"))
 
 
 def _bare(line: Column) -> Column:
@@ -49,8 +53,8 @@ def _key(line: Column) -> Column:
     return F.xxhash64(_bare(line))
 
 
-def drop_site_lines(pages: DataFrame, text: str, host: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """pages with `text` cleaned, and n_lines, n_dropped (long, of non-blank lines)."""
+def drop_site_lines(pages: DataFrame, text: str, host: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+    """pages with `text` cleaned, and n_lines, n_dropped (long, of non-blank lines) in place of any columns of these names."""
     src = pages.withColumn("_ld_host", F.coalesce(host, F.lit("")))
     lines = F.split(F.col(text), "\n", -1)
     shown = F.filter(lines, lambda x: _bare(x) != "")
@@ -58,8 +62,12 @@ def drop_site_lines(pages: DataFrame, text: str, host: Column, max_ratio: float
     seen = src.select("_ld_host", F.explode(keys).alias("_ld_key")).groupBy("_ld_host", "_ld_key").agg(F.count(F.lit(1)).alias("_ld_n")).where(F.col("_ld_n") >= min_pages)
     total = src.groupBy("_ld_host").agg(F.count(F.lit(1)).alias("_ld_total"))
     common_lines = seen.join(total, "_ld_host").where(F.col("_ld_n") > F.col("_ld_total") * F.lit(float(max_ratio)))
-    per_host = common_lines.groupBy("_ld_host").agg(F.collect_list("_ld_key").alias("_ld_drop"))
-    out = src.join(per_host, "_ld_host", "left")
+    per_host = common.cut(common_lines.groupBy("_ld_host").agg(F.collect_list("_ld_key").alias("_ld_drop")))
+    if (per_host.agg(F.sum(F.size("_ld_drop"))).first()[0] or 0) <= broadcast_lines:
+        out = src.join(F.broadcast(per_host), "_ld_host", "left")
+    else:  # the pages of a host are dealt over SALTS tasks
+        salted = per_host.withColumn("_ld_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        out = src.withColumn("_ld_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")).join(salted, ["_ld_host", "_ld_salt"], "left").drop("_ld_salt")
     kept = F.filter(lines, lambda x: ~((_bare(x) != "") & F.array_contains(F.col("_ld_drop"), _key(x))))
     has = F.col("_ld_drop").isNotNull()
     out = out.withColumn("_ld_all", F.coalesce(F.size(shown), F.lit(0)).cast("long"))
@@ -90,14 +98,16 @@ def drop_repeats(docs: DataFrame, text: str, host: Column, doc_id: str, min_docs
 
 def of_pages(pages: DataFrame) -> DataFrame:
     """The operator over raw web pages: page_id, host, text, n_lines, n_dropped."""
-    src = pages.select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text"))
-    return drop_site_lines(src, "text", F.col("host"))
+    spark = pages.sparkSession
+    made = common.scratch(spark, "lines")  # the markup is taken off once, and counting reads the lines only
+    pages.select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text")).write.parquet(made)
+    return drop_site_lines(spark.read.parquet(made), "text", F.col("host"))
 
 
 SQL = r"""
 WITH h AS (SELECT page_id, nullif(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
-  regexp_replace(regexp_replace(html, '(?is)<(?:script|style)\b.*?</(?:script|style)>|<!--.*?-->', '', 'g'), '(?i)<(?:/?(?:p|div|ul|ol|li|h[1-6]|nav|footer|header|article|section|table|tr|br|title|body|head|html)\b[^>]*)>', chr(10), 'g') AS t FROM pages),
-x AS (SELECT row_number() OVER () AS rid, page_id, host, trim(regexp_replace(regexp_replace(t, '<[^>]*>', '', 'g'), '\s*\n\s*', chr(10), 'g'), chr(10)) AS text FROM h),
+  regexp_replace(regexp_replace(html, '(?is)<(?:script|style)\b.*?(?:</(?:script|style)>|\z)|<!--.*?(?:-->|\z)', '', 'g'), '(?i)<(?:/?(?:p|div|ul|ol|li|h[1-6]|nav|footer|header|article|section|table|tr|br|title|body|head|html)\b[^<>]*)>', chr(10), 'g') AS t FROM pages),
+x AS (SELECT row_number() OVER () AS rid, page_id, host, trim(regexp_replace(regexp_replace(t, '<[^<>]*>', '', 'g'), '[\t\n\f\r ]*\n[\t\n\f\r ]*', chr(10), 'g'), chr(10)) AS text FROM h),
 l AS (SELECT rid, coalesce(host, '') AS host, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM x),
 k AS (SELECT *, regexp_replace(line, '^[ \t\r]+|[ \t\r]+$', '', 'g') AS key, regexp_matches(line, '[^ \t\r]') AS shown FROM l),
 n AS (SELECT host, key, count(DISTINCT rid) AS n FROM k WHERE shown GROUP BY ALL),
