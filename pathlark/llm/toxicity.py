@@ -6,10 +6,10 @@ words, every ``STRIDE`` words; both directions run over each window, attention o
 the states, and the pooled state gives the window's logit. The document's score is that of its worst window,
 over all windows of the whole text.
 
-Training: a bounded sample of labelled documents, at most about ``DOCS_PER_CLASS`` of each class of at
-most ``TRAIN_CHARS`` characters (by a hash of the id, so reruns agree). A label holds for a document, so
-for toxic ones the worst window learns, for clean ones the three worst. At first the windows are picked by
-naive Bayes over words and trigrams, then by the network itself.
+Training: a bounded sample of labelled documents of any length: of each class in the order of a hash of the id (so
+reruns agree), at most ``DOCS_PER_CLASS`` documents and ``CHARS_PER_CLASS`` characters in all. A label holds for a document,
+so for toxic ones the worst window learns, for clean ones the three worst. At first the windows are picked by
+naive Bayes over words and trigrams, then by the network itself among the ``CANDIDATES`` that naive Bayes finds worst.
 
 Nulls: a null text is the empty text, which gets the score of an empty window; null labels aren't
 learned from; a doc_id with several labels counts as toxic if one of them says so. Without both classes
@@ -22,13 +22,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import gru
+from . import common, gru
 
 HIDDEN, WINDOW, STRIDE, LANES, WORDS, GRAMS = 8, 32, 16, 1024, 8192, 8192
-DOCS_PER_CLASS, TRAIN_CHARS, STEPS, BATCH, TEACHER_STEPS = 900, 6000, 420, 40, 160
+DOCS_PER_CLASS, CHARS_PER_CLASS, STEPS, BATCH, TEACHER_STEPS, CANDIDATES = 900, 5_000_000, 420, 40, 160, 64
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 F32 = np.float32
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -176,17 +176,21 @@ def fit(pairs: list[tuple[str, int]], hidden: int = HIDDEN, steps: int = STEPS,
     adam = gru.Adam(model, 0.02)
     single = [Encoder([t]) for t, _ in pairs]
     guide = _teacher(single, goal)
+    worst = [np.sort(np.argsort(-g, kind="stable")[:CANDIDATES]) for g in guide]
+    guide = [g[w] for g, w in zip(guide, worst)]
     for step in range(steps):
         pick = np.concatenate([rng.choice(b, BATCH // 2) for b in by])
         enc = Encoder([pairs[k][0] for k in pick])
         if step < TEACHER_STEPS:
-            z = np.concatenate([guide[k] for k in pick]) + rng.random(len(enc.owner)) * 1e-3
+            z = np.concatenate([guide[k] for k in pick])
+            z = z + rng.random(len(z)) * 1e-3
         else:
-            z = logits(model, {d: inputs(model, d, enc.words) for d in "fb"}, enc.windows)
-        chosen = []
-        for k, at in enumerate(enc.first):
-            own = np.arange(at, enc.first[k + 1] if k + 1 < len(enc.first) else len(enc.owner))
-            chosen.append(own[np.argsort(-z[own])[: 1 if goal[pick[k]] else 3]])
+            z = logits(model, {d: inputs(model, d, enc.words) for d in "fb"}, enc.windows[np.concatenate([at + worst[k] for k, at in zip(pick, enc.first)])])
+        chosen, done = [], 0
+        for k, at in zip(pick, enc.first):
+            own = z[done : done + len(worst[k])]
+            chosen.append(at + worst[k][np.argsort(-own)[: 1 if goal[k] else 3]])
+            done += len(own)
         chosen = np.concatenate(chosen)
         adam.step(_learn(model, enc, chosen, goal[pick[enc.owner[chosen]]]), 0.02 if step < steps * 0.7 else 0.005)
     return model
@@ -205,20 +209,17 @@ def _key(df: DataFrame, n: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
-def sample(documents: DataFrame, labels: DataFrame, per_class: int = DOCS_PER_CLASS, max_chars: int = TRAIN_CHARS) -> list[tuple[str, int]]:
-    """A bounded sample of (text, label); only its ids meet the documents, by broadcast."""
+def sample(documents: DataFrame, labels: DataFrame, per_class: int = DOCS_PER_CLASS, max_chars: int = CHARS_PER_CLASS) -> list[tuple[str, int]]:
+    """A sample of (text, label), bounded in rows and characters; only its ids (6 * per_class at most) meet the documents, by broadcast."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (_key(labels, 5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, 1.5 * per_class / counts.get(1, 1))).otherwise(min(1.0, 1.5 * per_class / counts.get(0, 1)))
     low = known.where((F.abs(F.xxhash64("doc_id", F.lit("tox-sample"))) % 1_000_000) < share * 1_000_000).orderBy(F.xxhash64("doc_id")).limit(6 * per_class)
-    some = documents.where(F.length("text") <= max_chars).select("doc_id", "text").join(F.broadcast(low), "doc_id")
-    rows = some.orderBy("doc_id").limit(6 * per_class).collect()
-    out, left = [], {0: per_class, 1: per_class}
-    for r in rows:
-        if left.get(r["toxic"], 0):
-            left[r["toxic"]] -= 1
-            out.append((r["text"], r["toxic"]))
-    return out
+    some = documents.select("doc_id", "text").join(F.broadcast(low), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    turn = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")  # of the sampled rows
+    some = some.where((F.length("text") <= max_chars) & F.col("toxic").isin(0, 1)).withColumns({"turn": F.row_number().over(turn), "chars": F.sum(F.length("text")).over(turn)})
+    rows = some.where((F.col("turn") <= per_class) & (F.col("chars") <= max_chars)).orderBy("toxic", "turn").collect()
+    return [(r["text"], r["toxic"]) for r in rows]
 
 
 def predict(documents: DataFrame, model: dict | None) -> DataFrame:
@@ -227,7 +228,7 @@ def predict(documents: DataFrame, model: dict | None) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)  # 3 MB whatever the corpus
 
     def run(batches):
-        for b in batches:
+        for b in common.portions(batches):
             s = score_texts(shared.value, b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
