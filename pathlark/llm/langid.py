@@ -5,9 +5,10 @@ the states of both directions; the document's distribution is the mean over all
 are run whole, in windows of ``WINDOW`` bytes that start with fresh states, many windows at a time.
 
 Training: at most about ``DOCS_PER_LANG`` documents of each language (chosen by a hash of the id, so
-reruns agree), ``SNIPPETS`` snippets of each; every position is labelled with the document's language,
-and the loss is summed over positions and propagated through time. That bound is a parameter, nothing
-else depends on the size of the corpus.
+reruns agree), ``SNIPPETS`` snippets of each, of which a step sees ``TRAIN_WINDOW`` bytes; every position is labelled with
+the document's language, and the loss is summed over positions and propagated through time. Each step takes as many
+of every language; of more languages than ``BATCH`` it takes some. That bound is a parameter, nothing else depends on the
+size of the corpus.
 
 Nulls: null text, or text without a letter: ``und`` with score 0. Null lang is never learned from. With
 no labelled row, every document is ``und``. Repeated rows are rows. Extra columns are ignored.
@@ -17,10 +18,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import gru
+from . import common, gru
 
 HIDDEN, WINDOW, LANES = 8, 128, 1024
 DOCS_PER_LANG, SNIPPETS, STEPS, BATCH, TRAIN_WINDOW = 300, 3, 260, 192, 96
@@ -39,7 +40,8 @@ def sample(train: DataFrame, per_lang: int = DOCS_PER_LANG, snippets: int = SNIP
     low = (F.abs(F.xxhash64("doc_id", F.lit("lang-sample"))) % 1_000_000) < share * 1_000_000
     n = F.length("text")
     at = [F.substring("text", (1 + (n * (2 * k + 1) / (2 * snippets)).cast("int")), F.lit(length)) for k in range(snippets)]
-    rows = train.where(low).select("lang", F.array(*at).alias("parts"), "doc_id").orderBy("doc_id").limit(2 * per_lang * len(counts)).collect()
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "parts"))  # of few rows: more than 2 * per_lang only if ids repeat
+    rows = train.where(low).select("lang", F.array(*at).alias("parts"), "doc_id").withColumn("turn", turn).where(F.col("turn") <= 2 * per_lang).orderBy("lang", "turn").collect()
     return [(r["lang"], p) for r in rows for p in r["parts"] if p]
 
 
@@ -64,7 +66,8 @@ def fit(pairs: list[tuple[str, str]], hidden: int = HIDDEN, steps: int = STEPS,
     p |= {"w": (rng.standard_normal((2 * hidden, len(langs))) * 0.3).astype(F32), "b": np.zeros(len(langs), F32)}
     adam = gru.Adam(p, 0.02)
     for step in range(steps):
-        pick = np.concatenate([rng.choice(b, BATCH // len(by)) for b in by])
+        some = by if len(by) <= BATCH else [by[k] for k in rng.choice(len(by), BATCH, replace=False)]
+        pick = np.concatenate([rng.choice(b, BATCH // len(some)) for b in some])
         ids, goal = x[:, pick], y[pick]
         keep = {d: gru.train_forward(p["u" + d], np.ascontiguousarray(p["x" + d][:, ids].transpose(1, 0, 2, 3)), d == "b") for d in "fb"}
         h = np.concatenate([keep["f"]["out"], keep["b"]["out"]], 2)
@@ -148,7 +151,7 @@ def predict(documents: DataFrame, model: dict) -> DataFrame:
     def run(batches):
         model = shared.value
         label = Labeller(model) if model["langs"] else None
-        for b in batches:
+        for b in common.portions(batches):
             texts = b.column("text").to_pylist()
             known = [t is not None and label is not None and any(map(str.isalpha, t)) for t in texts]
             p = label.documents([t for t, k in zip(texts, known) if k]) if any(known) else np.zeros((0, 1))

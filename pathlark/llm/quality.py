@@ -24,8 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import common
+
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST_PERCENT, WINDOW = 10, 20, 30, 5
-SYMBOLS, NAVIGATION, ENDS = "#*$%&|<>", "|›•·", ".!?…:;\"'”’»)]"
+SYMBOLS, NAVIGATION = "#*$%&|<>", "|›•·"
+#: What may close a sentence or clause, in Latin, CJK, Arabic, Indic, Ethiopic, Armenian and Khmer writing.
+ENDS = ".!?…:;\"'”’»)]。！？：；」』）】》〉｡．｣؟؛۔।॥።፧։។៕‽⁇⁈⁉"
 BOILERPLATE = r"all rights reserved|licensed under|released under the|terms of (use|service)|privacy policy|cookie policy|enable javascript|click here|lorem ipsum|^[ \t]*copyright"
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, kept_words long"
 _WORDS, _NOTICE, _BLANK = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(BOILERPLATE), " \t\n\v\f\r"
@@ -93,7 +97,7 @@ def judge(documents: DataFrame, max_lost: int = MAX_LOST_PERCENT) -> DataFrame:
     """One row per document; see SCHEMA."""
 
     def run(batches):
-        for b in batches:
+        for b in common.portions(batches):
             rows = [judge_text(t, max_lost)[:8] for t in b.column("text").to_pylist()]
             cols = list(zip(*rows)) or [()] * 8
             types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()]
@@ -107,7 +111,7 @@ def clean(documents: DataFrame, max_lost: int = MAX_LOST_PERCENT) -> DataFrame:
     """The documents that are kept, without their failing lines; n_chars, if there, follows the text."""
 
     def run(batches):
-        for b in batches:
+        for b in common.portions(batches):
             judged = [judge_text(t, max_lost) for t in b.column("text").to_pylist()]
             for name, value in (("text", lambda x: x[8]), ("n_chars", lambda x: None if x[8] is None else len(x[8]))):
                 if name in b.schema.names:
@@ -124,7 +128,7 @@ w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS
 l AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
 lw AS (SELECT rid, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS k FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 lf AS (SELECT rid, line, k, len(regexp_extract_all(line, '[|›•·]')) AS nav,
-       NOT regexp_matches(line, '[.!?…:;"''”’»)\]][\x20\x09-\x0D]*$') OR 10 * len(regexp_extract_all(line, '[#*$%&|<>]')) > 3 * k OR 10 * len(regexp_extract_all(line, '!')) > 3 * k
+       NOT regexp_matches(line, '[.!?…:;"''”’»)\]。！？：；」』）】》〉｡．｣؟؛۔।॥።፧։។៕‽⁇⁈⁉][\x20\x09-\x0D]*$') OR 10 * len(regexp_extract_all(line, '[#*$%&|<>]')) > 3 * k OR 10 * len(regexp_extract_all(line, '!')) > 3 * k
        OR regexp_matches(lower(line), 'all rights reserved|licensed under|released under the|terms of (use|service)|privacy policy|cookie policy|enable javascript|click here|lorem ipsum|^[ \t]*copyright') AS bad FROM lw),
 la AS (SELECT rid, coalesce(sum(k) FILTER (NOT bad AND NOT (nav >= 2 AND 3 * nav >= k)), 0)::BIGINT AS kept_words, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM lf GROUP BY rid),
 g AS (SELECT rid, unnest(range(1, len(words) - 3)) AS i, unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' '))) AS gram FROM w WHERE len(words) > 5),
