@@ -8,7 +8,7 @@ text is contained in the larger, however unequal they are. Written as sorted 16-
 The next document stands in ascending doc_id order (rows that repeat an id: in order of text), after
 the last comes the first. It is found without a global sort: a window per block of 1,024 ids, and for
 the last row of each block the head of the next block that isn't empty, found by windows over ever
-coarser blocks. Each text is shuffled once.
+coarser blocks. Windows and block ends read the same shuffle of the texts.
 
 Nulls: a null text is the empty text. Rows without a doc_id have no place in the order: they come
 after nobody, and their next document is the empty text. Two empty sketches are alike (1.0) only if the
@@ -67,7 +67,8 @@ def _next_block(heads: DataFrame) -> DataFrame:
 def with_next(documents: DataFrame) -> DataFrame:
     """doc_id, text, fp and the next document's next_text, next_fp."""
     src = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    placed = src.where("doc_id IS NOT NULL").withColumn("block", F.shiftright("doc_id", BLOCK_BITS)).repartition("block")
+    # the condition on block stands here so that both readers of the shuffle have the same plan, and Spark shuffles once
+    placed = src.where("doc_id IS NOT NULL").withColumn("block", F.shiftright("doc_id", BLOCK_BITS)).where("block IS NOT NULL").repartition("block")
     order = Window.partitionBy("block").orderBy("doc_id", "text")
     seen = with_sketch(placed, "text", "fp").withColumn("next", F.lead(F.struct("text", "fp")).over(order))
     inner = seen.where("next IS NOT NULL").select("doc_id", "text", "fp", F.col("next.text").alias("next_text"), F.col("next.fp").alias("next_fp"))
