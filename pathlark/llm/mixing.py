@@ -9,11 +9,12 @@ clamped exactly if its clamp is below what the level of the remaining ones would
 Documents are then taken floor(target / size) whole times each, and those that come first by a
 seeded hash once more, until the fraction left is used up (to the nearest document). The cut-off
 is found by a histogram over hash buckets, so a source with a third of all rows is summed in
-partial aggregates; only the documents of its one boundary bucket are put in order.
+partial aggregates; only the documents of its one boundary bucket are put in order. What is taken once more is a start
+of each source in that order, so its last unit, one row a source, decides for all documents.
 
 Nulls: a null text has size 0; null sources form one source, last in order; null ids hash as ''.
 Rows that repeat a doc_id within a source are one unit of the fractional sample. An empty table
-gives an empty mix. Extra columns are ignored by `plan` and kept by `apply_mix`.
+gives an empty mix. Extra columns are ignored by `slim` and kept by `apply_mix`.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WEIGHTS, MAX_EPOCHS, SEED, BUCKETS = (5, 2, 1), 3, "mix-1", 4096
+#: Sources that are broadcast at most, as counted.
+BROADCAST_SOURCES = 500_000
 
 
 def _hash(doc_id: Column, seed: str) -> Column:
@@ -36,7 +39,7 @@ def _hash(doc_id: Column, seed: str) -> Column:
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(source, size) rows, one per document, to one row per source: (mix_source, source_size, target).
 
-    The windows here see one row per source, already summed.
+    The windows here see one row per source, already summed: one task is enough for millions of sources.
     """
     by = sizes.groupBy(F.col("source").alias("mix_source")).agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("mix_source").asc_nulls_last())) - 1
@@ -60,14 +63,21 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: in
     return by.select("mix_source", "source_size", F.when(F.col("clamped"), F.col("clamp").cast("double")).otherwise(share).alias("target"))
 
 
-def sized(documents: DataFrame) -> DataFrame:
-    """documents with _mix_size, the number of words."""
-    return documents.withColumn("_mix_size", common.n_words(F.col("text")))
+def slim(documents: DataFrame, seed: str = SEED) -> DataFrame:
+    """A written table of doc_id, source, size (words) and h (the seeded hash): words are counted once."""
+    path = common.scratch(documents.sparkSession, "mix")
+    cols = documents.select("doc_id", "source", common.n_words(F.col("text")).alias("size"), _hash(F.col("doc_id"), seed).alias("h"))
+    cols.write.parquet(path)
+    return documents.sparkSession.read.parquet(path)
 
 
-def plan(documents: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
-    """(per source: targets, whole repetitions and the boundary bucket; per unit of a boundary bucket: whether it is taken once more)."""
-    units = documents.select("doc_id", "source", F.col("_mix_size").alias("size")).withColumn("h", _hash(F.col("doc_id"), seed)).withColumn("bucket", F.shiftright("h", 48))
+def plan(units: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """Per source, of `slim` rows: target, whole repetitions, and where the fractional sample ends.
+
+    In the order (h, doc_id) what is taken once more is a start of each source: twice the words before a unit and its
+    own, once, only grow. So its last unit in the boundary bucket says it all.
+    """
+    units = units.withColumn("bucket", F.shiftright("h", 48))
     hist = units.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
     goal = targets(hist, weights, max_epochs)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -75,37 +85,44 @@ def plan(documents: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: i
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows a source
     cum = hist.withColumn("before", F.coalesce(F.sum("size").over(run), F.lit(0)))
     cum = cum.join(goal, F.col("source").eqNullSafe(F.col("mix_source")))
-    edge = cum.where((F.col("before") < F.col("rest")) | (F.col("bucket") == -1)).groupBy(F.col("source").alias("edge_source")).agg(F.max_by(F.struct("bucket", "before"), F.col("bucket")).alias("edge"))
+    edge = cum.where(F.col("before") < F.col("rest")).groupBy(F.col("source").alias("edge_source")).agg(F.max_by(F.struct("bucket", "before"), F.col("bucket")).alias("edge"))
     goal = goal.join(edge, F.col("mix_source").eqNullSafe(F.col("edge_source")), "left").select("mix_source", "source_size", "target", "whole", "rest", F.coalesce(F.col("edge.bucket"), F.lit(-1)).alias("edge_bucket"), F.coalesce(F.col("edge.before"), F.lit(0)).alias("edge_before"))
     goal = common.cut(goal)
-    inside = units.join(goal, F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("bucket") == F.col("edge_bucket")))
+    inside = units.join(_small(goal), F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("bucket") == F.col("edge_bucket")))
     inside = inside.groupBy("source", "h", "doc_id", "rest", "edge_before").agg(F.sum("size").alias("size"))
     order = Window.partitionBy("source").orderBy("h", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("edge_before") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    more = inside.select(F.col("source").alias("unit_source"), F.col("doc_id").alias("unit_id"), (2.0 * before + F.col("size") <= 2.0 * F.col("rest")).alias("more")).where("more")
-    return goal, more
+    last = F.max(F.struct("h", F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("last")
+    more = inside.withColumn("more", 2.0 * before + F.col("size") <= 2.0 * F.col("rest")).where("more").groupBy(F.col("source").alias("more_source")).agg(last)
+    ends = goal.join(more, F.col("mix_source").eqNullSafe(F.col("more_source")), "left")
+    return common.cut(ends.select("mix_source", "source_size", "target", "whole", "edge_bucket", "last"))
+
+
+def _small(goal: DataFrame) -> DataFrame:
+    """A table of sources, to be broadcast if it has few rows."""
+    return F.broadcast(goal) if goal.count() <= BROADCAST_SOURCES else goal
 
 
-def repetitions(documents: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """documents (with _mix_size) and _mix_source_size, _mix_target, _mix_times: how often the mix takes each row."""
-    goal, more = (df.toDF(*[f"_mix_{c}" for c in df.columns]) for df in plan(documents, weights, max_epochs, seed))
-    out = documents.join(goal, documents["source"].eqNullSafe(goal["_mix_mix_source"]), "left")
-    out = out.join(more, documents["doc_id"].eqNullSafe(more["_mix_unit_id"]) & documents["source"].eqNullSafe(more["_mix_unit_source"]), "left")
-    early = F.shiftright(_hash(documents["doc_id"], seed), 48) < F.col("_mix_edge_bucket")
-    times = F.col("_mix_whole") + F.when(early | F.coalesce(F.col("_mix_more"), F.lit(False)), 1).otherwise(0)
-    return out.select(*[documents[c] for c in documents.columns], "_mix_source_size", "_mix_target", times.cast("long").alias("_mix_times"))
+def repetitions(documents: DataFrame, goal: DataFrame, h: Column) -> DataFrame:
+    """documents and _mix_source_size, _mix_target, _mix_times: how often the mix takes each row."""
+    goal = _small(goal.select(*[F.col(c).alias(f"_mix_{c}") for c in goal.columns]))
+    out = documents.withColumn("_mix_at", h).join(goal, F.col("source").eqNullSafe(F.col("_mix_mix_source")), "left")
+    unit = F.struct(F.col("_mix_at").alias("h"), F.col("doc_id").isNotNull().alias("known"), "doc_id")
+    early = (F.shiftright("_mix_at", 48) < F.col("_mix_edge_bucket")) | F.coalesce(unit <= F.col("_mix_last"), F.lit(False))
+    times = F.col("_mix_whole") + F.when(early, 1).otherwise(0)
+    return out.select(*[F.col(f"`{c}`") for c in documents.columns], "_mix_source_size", "_mix_target", times.cast("long").alias("_mix_times"))
 
 
-def taken(documents: DataFrame) -> DataFrame:
+def taken(documents: DataFrame, seed: str = SEED) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
-    slim = sized(documents).select("doc_id", "source", "_mix_size")
-    return repetitions(slim).select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("_mix_size") * F.col("_mix_times")).alias("taken"))
+    units = slim(documents, seed)
+    return repetitions(units, plan(units), F.col("h")).select("doc_id", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("size") * F.col("_mix_times")).alias("taken"))
 
 
-def apply_mix(documents: DataFrame) -> DataFrame:
-    """The mix itself: each row as often as it is taken."""
-    out = repetitions(sized(documents)).where("_mix_times > 0")
-    return out.withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_times").cast("int")))).select(*documents.columns)
+def apply_mix(documents: DataFrame, seed: str = SEED) -> DataFrame:
+    """The mix itself: each row as often as it is taken. Texts aren't shuffled unless there are very many sources."""
+    out = repetitions(documents, plan(slim(documents, seed)), _hash(F.col("doc_id"), seed)).where("_mix_times > 0")
+    return out.withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_times").cast("int")))).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 SQL = r"""
