@@ -1,18 +1,19 @@
 r"""Near-duplicate detection by b-bit MinHash, confirmed on full shingle sets.
 
 1. One pass over the texts gives each document its number of distinct shingles of ``size`` words, a 128-bit hash
-   of the set, and ``BANDS`` band keys of ``ROWS`` minima each. At similarity 0.8 a pair misses every
-   band with probability 7e-6. Documents with the same set form a class; only its smallest doc_id goes on.
+   of the set, and ``BANDS`` band keys of ``ROWS`` minima each. With ideal hash functions a pair at similarity 0.8 misses
+   every band with probability 7e-6; README has the recall as measured. Documents with the same set form a class; only its smallest doc_id goes on.
 2. Candidates: each class is tied to the smallest one in each of its buckets (a star, never all pairs);
-   the connected components of these ties are candidate groups. All true links lie within groups.
+   the connected components of these ties are candidate groups. All pairs that share a band lie within groups.
 3. Within a group, the low ``BITS`` bits of the minima are packed; a pair's similarity is estimated from
-   the equal positions, corrected for chance collisions; what reaches 0.8 less 4.5 standard deviations
-   is confirmed on the full sets (64-bit shingle hashes), unless the two are already connected.
+   the equal positions, corrected for chance collisions; what reaches 0.8 less 4.5 standard deviations (about 3 in a
+   million at 0.8 don't) is confirmed on the full sets (64-bit shingle hashes), unless the two are already connected.
    A task returns spanning ties only, so its output is linear.
 4. Groups of more than ``BLOCK`` shingles are cut into blocks by hash. Each block gets the same few
-   anchor documents, so the parts of a large group connect through them. Then the documents outside the
-   group's largest component (as a rule a few) are compared with every block. A pair that isn't yet
-   connected always has a member outside that component, so no link is lost, whatever the group's size.
+   anchor documents, so the parts of a large group connect through them. Then each document outside the
+   group's largest component (as a rule a few) is compared with the blocks that hold a document with one of its band
+   keys. A pair that isn't yet connected always has a member outside that component, so of the pairs that share a band
+   none is left out, whatever the group's size.
 5. Components of all ties; a document is kept if it has the smallest doc_id.
 
 Empty and null texts have an empty set and are linked with nothing. Rows without a doc_id are linked
@@ -37,6 +38,8 @@ PERCENT, BLOCK, ANCHORS = 80, 131_072, 4
 CONTRACT_SIZE, SIZE = 2, 5
 #: Ties to a task while components are found: rounds over few ties don't write files for many partitions.
 TIES_PER_TASK = 50_000
+#: Tables of so many rows at most, as counted, are broadcast: then the ties of a hub needn't meet in one task.
+BROADCAST_ROWS = 1_000_000
 _RNG = np.random.default_rng(20)
 _A = (_RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
@@ -177,9 +180,11 @@ def components(edges: DataFrame) -> DataFrame:
         edges = edges.coalesce(tasks)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = F.broadcast(least) if seen[0] <= BROADCAST_ROWS else least  # a row for each end of a tie at most
         large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.unionByName(edges.join(least, F.col("a") == F.col("u")).select("a", F.col("m").alias("b"))).where("a != b").coalesce(2 * tasks).distinct().coalesce(tasks)
         low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        low = F.broadcast(low) if seen[0] <= BROADCAST_ROWS // 2 else low  # large has two rows for a tie at most
         small = large.join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         edges = common.cut(small.where("a != b").coalesce(2 * tasks).distinct().coalesce(tasks))
         now = state(edges)
@@ -258,7 +263,11 @@ def _ties(documents: DataFrame, sigs: DataFrame, block: int, size: int) -> DataF
         return roots
     texts = texts.where("nb > 1").select("rep", "text").join(large.join(main, F.col("gid") == F.col("g")).select(F.col("rep").alias("id"), "gid", "nb", "own", "root", "main"), F.col("rep") == F.col("id"))
     base = texts.select("rep", "gid", F.col("own").alias("block"), "root", F.lit(0).alias("role"), "text")
-    probe = texts.where("root != main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("rep", "gid", "block", "root", F.lit(1).alias("role"), "text")
+    # the blocks to ask: those with a document under one of the probe's band keys
+    held = keys.join(large.join(main, F.col("gid") == F.col("g")).select(F.col("rep").alias("id"), "gid", "own", (F.col("root") != F.col("main")).alias("asks")), F.col("rep") == F.col("id"))
+    homes = held.select(F.col("gid").alias("g"), F.col("key").alias("k2"), F.col("own").alias("block")).distinct()
+    asked = held.where("asks").join(homes, (F.col("gid") == F.col("g")) & (F.col("key") == F.col("k2"))).select(F.col("id").alias("probe_id"), "block").distinct()
+    probe = texts.where("root != main").join(asked, F.col("rep") == F.col("probe_id")).select("rep", "gid", "block", "root", F.lit(1).alias("role"), "text")
     more = _blocks(base.unionByName(probe), True, size)
     tied = roots.select(F.col("v").alias("a"), F.col("root").alias("b"))
     return components(tied.unionByName(more))
@@ -278,5 +287,5 @@ def groups(documents: DataFrame, block: int = BLOCK, size: int = CONTRACT_SIZE)
 
 def keep_one(documents: DataFrame, block: int = BLOCK, size: int = SIZE) -> DataFrame:
     """documents, one of each group (that with the smallest doc_id); rows that repeat it stay."""
-    gone = groups(documents, block, size).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return documents.join(gone, documents["doc_id"] == F.col("gone_id"), "left_anti")
+    gone = groups(documents, block, size).where("NOT kept").select("doc_id").distinct()
+    return documents.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
