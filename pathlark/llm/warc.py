@@ -6,8 +6,8 @@ records (the format's own way), one output row per segment, through Spark's text
 protocol covers lost executors.
 
 Reading: `WarcChunks` takes bytes in pieces of any size and yields (record, chunk number, chunk
-length, running SHA-1, running length, last) rows. It keeps at most one header (of any length) and one
-chunk; no record is ever held whole. Input that ends within a record raises.
+length, running SHA-1, running length, last, chunk) rows: the chunks of a record, in order, are its payload. It keeps at
+most one header (of any length) and one chunk; no record is ever held whole. Input that ends within a record raises.
 
 Identical payloads: of the records with equal payloads of at least ``min_revisit_bytes`` bytes, the
 one with the smallest page_id is the response and the others are revisits without a payload.
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql.types import BinaryType
 from . import common
 
 SEGMENT, CHUNK, END = 1 << 20, 1 << 18, "\r\n\r\n"
-CHUNK_SCHEMA = "record_id string, warc_type string, chunk_no long, chunk_bytes long, sha1 string, bytes_so_far long, last boolean, refers_to string, full_digest string, full_bytes long"
+CHUNK_SCHEMA = "record_id string, warc_type string, chunk_no long, chunk_bytes long, sha1 string, bytes_so_far long, last boolean, refers_to string, full_digest string, full_bytes long, chunk binary"
 
 
 def base32_sha1(data: Column) -> Column:
@@ -76,7 +75,9 @@ def records(pages: DataFrame, segment_bytes: int = SEGMENT, min_revisit_bytes: i
 
 
 def write(pages: DataFrame, path: str, compression: str = "gzip", segment_bytes: int = SEGMENT, min_revisit_bytes: int = 0) -> None:
-    """Writes archives into the folder `path`, one file per partition."""
+    """Writes archives into the folder `path`, one file per partition. Readers must not split the files, so they are compressed."""
+    if compression not in ("gzip", "deflate"):
+        raise ValueError(f"not a compression that keeps files whole: {compression!r}")
     records(pages, segment_bytes, min_revisit_bytes).write.option("lineSep", END).option("compression", compression).text(path)
 
 
@@ -105,7 +106,7 @@ class WarcChunks:
         r["sha1"].update(piece)
         r["n"] += len(piece)
         r["no"] += 1
-        return (r["id"], r["type"], r["no"] - 1, len(piece), base64.b32encode(r["sha1"].digest()).decode(), r["n"], last, r["refers"], r["digest"], int(r["full"]) if r["full"] is not None else r["n"])
+        return (r["id"], r["type"], r["no"] - 1, len(piece), base64.b32encode(r["sha1"].digest()).decode(), r["n"], last, r["refers"], r["digest"], int(r["full"]) if r["full"] is not None else r["n"], piece)
 
     def feed(self, data: bytes) -> Iterator[tuple]:
         buf, at = self.buf, 0
@@ -153,8 +154,8 @@ class WarcChunks:
         self.close()
 
 
-def read(spark: SparkSession, path: str, chunk_bytes: int = CHUNK) -> DataFrame:
-    """The chunked record table of the archives in a folder, in the order of each file.
+def read(spark: SparkSession, path: str, chunk_bytes: int = CHUNK, payload: bool = True) -> DataFrame:
+    """The chunked record table of the archives in a folder, in the order of each file; payload=False leaves the chunks' bytes out.
 
     Gzipped files aren't split, so a task reads whole files one after another, as pieces.
     """
@@ -162,15 +163,19 @@ def read(spark: SparkSession, path: str, chunk_bytes: int = CHUNK) -> DataFrame:
     def parse(batches):
         parser = WarcChunks(chunk_bytes)
         rows: list[tuple] = []
+        held = 0
         names = [x.split()[0] for x in CHUNK_SCHEMA.split(", ")]
-        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.int64()]
+        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         out = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
         for batch in batches:
             for line in batch.column(0):
-                rows.extend(parser.feed(line.as_py() + b"\n"))
-            if len(rows) >= 1000:
-                yield out()
-                rows.clear()
+                for row in parser.feed(line.as_py() + b"\n"):
+                    rows.append(row if payload else (*row[:-1], None))
+                    held += row[3] if payload else 0
+                    if len(rows) >= 1000 or held >= 1 << 23:
+                        yield out()
+                        rows.clear()
+                        held = 0
         parser.close()
         if rows:
             yield out()
@@ -182,9 +187,9 @@ def read(spark: SparkSession, path: str, chunk_bytes: int = CHUNK) -> DataFrame:
 def round_trip(pages: DataFrame, segment_bytes: int = SEGMENT) -> DataFrame:
     """Writes the archives to the shared folder and reads them back: one row per record."""
     spark = pages.sparkSession
-    path = f"{common.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = common.scratch(spark, "warc")
     write(pages, path, segment_bytes=segment_bytes)
-    done = read(spark, path).where("last")
+    done = read(spark, path, payload=False).where("last")
     number = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("null")).cast("long")
     revisit = F.col("warc_type") == "revisit"
     return done.select(
