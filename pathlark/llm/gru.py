@@ -47,11 +47,11 @@ def run(u: np.ndarray, tables: np.ndarray, ids: np.ndarray, out: np.ndarray, bac
         state += c
 
 
-def train_forward(u: np.ndarray, gx: np.ndarray, backward: bool) -> dict:
-    """One direction with what the way back needs. gx: (steps, 3, batch, H)."""
+def train_forward(u: np.ndarray, gx: np.ndarray, backward: bool, kind: type = F32) -> dict:
+    """One direction with what the way back needs. gx: (steps, 3, batch, H); kind: the precision."""
     steps, _, n, h = gx.shape
-    keep = {k: np.empty((steps, n, h), F32) for k in ("prev", "r", "z", "n", "gn", "out", "dr", "dz", "dn")}
-    state = np.zeros((n, h), F32)
+    keep = {k: np.empty((steps, n, h), kind) for k in ("prev", "r", "z", "n", "gn", "out", "dr", "dz", "dn")}
+    state = np.zeros((n, h), kind)
     for t in range(steps - 1, -1, -1) if backward else range(steps):
         g = np.matmul(state, u)
         ar, az = gx[t, 0] + g[0], gx[t, 1] + g[1]
@@ -68,8 +68,9 @@ def train_forward(u: np.ndarray, gx: np.ndarray, backward: bool) -> dict:
 def train_backward(u: np.ndarray, keep: dict, d_out: np.ndarray, backward: bool) -> tuple[np.ndarray, np.ndarray]:
     """(gradient of u, gradient of gx) from the gradient of the outputs, through time."""
     steps, n, h = d_out.shape
-    du, dgx, dh = np.zeros_like(u), np.empty((steps, 3, n, h), F32), np.zeros((n, h), F32)
-    dg = np.empty((3, n, h), F32)
+    kind = keep["out"].dtype
+    du, dgx, dh = np.zeros_like(u), np.empty((steps, 3, n, h), kind), np.zeros((n, h), kind)
+    dg = np.empty((3, n, h), kind)
     turned = u.transpose(0, 2, 1)
     for t in range(steps) if backward else range(steps - 1, -1, -1):
         prev, r, z, c, gn = (keep[k][t] for k in ("prev", "r", "z", "n", "gn"))

@@ -20,7 +20,7 @@ from helpers import SF, compare
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pathlark.llm import fingerprint, langid, linededup, mixing, neardup, packing, quality, queries, secrets, toxicity, warc
+from pathlark.llm import fingerprint, gru, langid, linededup, mixing, neardup, packing, quality, queries, secrets, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -126,11 +126,11 @@ def test_secret_base_rules(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
 
 
-def brute_groups(rows):
+def brute_groups(rows, size=2):
     sets = {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets[i] = set(zip(w, w[1:])) if len(w) > 1 else {tuple(w)} if w else set()
+        sets[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
     up = {i: i for i in sets}
     for a, b in itertools.combinations(sorted(sets), 2):
         both = len(sets[a] & sets[b])
@@ -274,12 +274,146 @@ def test_pipeline(spark):
     judged = {r.doc_id: quality.judge_text(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert {r.doc_id: r.text for r in kept["quality rules"]} == {i: j[8] for i, j in judged.items() if j[6]}
     lines = kept["line dedup"]
-    groups = brute_groups([(r.doc_id, r.text) for r in lines])
+    groups = brute_groups([(r.doc_id, r.text) for r in lines], 5)
     assert {r.doc_id for r in kept["near dedup"]} == {i for i, g in groups.items() if g[2]}
     assert {r.doc_id for r in kept["mix sources"]} <= {r.doc_id for r in kept["near dedup"]}
     pieces = corpus_pipeline.run(spark, SF).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
-    times = Counter(r.doc_id for r in kept["mix sources"])
-    assert {r.doc_id for r in pieces} == set(times)
+    times, text = Counter(r.doc_id for r in kept["mix sources"]), {r.doc_id: r.text for r in kept["mix sources"]}
+    tokens = packing.WordTokens(packing.default_path())
+    assert {r.doc_id: r.n for r in pieces} == {i: n * len(tokens.encode(pa.array([text[i]]))[0]) for i, n in times.items()}
+    weight = Counter()
+    for r in kept["near dedup"]:
+        weight[r.source] += len(r.text.split())
+    got = Counter()
+    for r in kept["mix sources"]:
+        got[r.source] += len(r.text.split())
+    assert all(got[k] <= 3 * n for k, n in weight.items())
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, stage):
+    """Nulls in any column, empty and long texts, ties, repeated rows, an empty table, extra columns with clashing names."""
+    run = dict(corpus_pipeline.STAGES)[stage]
+    for rows in (odd(spark), odd(spark).withColumns({"gone_id": F.lit(1), "a.b": F.lit(2), "_c": F.lit(None).cast("string"), "n_dropped": F.lit(9), "key": F.lit("k"), "salt": F.lit(0)})):
+        got = run(spark, rows, SF).collect()
+        assert run(spark, rows.limit(0), SF).collect() == []
+    ids = Counter(r.doc_id for r in got)
+    if stage == "quality rules":
+        assert ids == {None: 1, 3: 1}
+    elif stage == "line dedup":
+        assert ids == {1: 1, 2: 1, None: 1, 3: 1, 4: 1, 5: 2, 6: 1}
+    elif stage == "near dedup":
+        assert ids == {1: 1, 2: 1, None: 1, 3: 1, 4: 1, 6: 1}
+    elif stage == "mix sources":
+        assert set(ids) <= {1, 2, None, 3, 4, 5, 6} and all(r.text for r in got if r.doc_id == 3)
+    else:
+        assert sum(r.length for r in got if r.doc_id == 5) == 2 * next(r.doc_tokens for r in got if r.doc_id == 5) and len(ids) == 7
+
+
+def test_long_markup_is_linear(spark):
+    import time
+
+    for junk in ("<" * 300_000, "<!--" * 80_000, "<script " * 40_000, " " * 300_000, "<p " * 100_000, " \t" * 150_000 + "\n"):
+        rows = spark.createDataFrame([(1, "http://a/", junk), (2, "http://a/", "<p>one</p>two<script>x")], "page_id long, url string, html string")
+        began = time.time()
+        got = {r.page_id: r.text for r in linededup.of_pages(rows).collect()}
+        assert got[2] == "one\ntwo" and time.time() - began < 30
+
+
+def test_site_lines_by_broadcast_and_by_salt(spark):
+    rows = spark.createDataFrame([(k, "big" if k % 3 else "small", f"Own {k}\nMenu\n" + ("Rare" if k == 5 else "Foot"), -1) for k in range(60)], "id long, site string, text string, n_lines int")
+    one, two = (sorted(map(tuple, linededup.drop_site_lines(rows, "text", F.col("site"), broadcast_lines=n).collect()), key=repr) for n in (100, 0))
+    assert one == two and all(r[2] in (f"Own {r[0]}", f"Own {r[0]}\nRare") and r[3] == 3 for r in one)
+
+
+def test_clashing_names(spark):
+    rows = docs(spark, (1, "a b c d e f", "s"), (2, "a b c d e f", "s"), (None, "x", "s")).withColumns({"gone_id": F.lit(7), "a.b": F.lit(1)})
+    assert sorted((r.doc_id or 0, r.gone_id) for r in neardup.keep_one(rows).collect()) == [(0, 7), (1, 7)]
+    assert mixing.apply_mix(rows).columns == rows.columns
+
+
+@pytest.mark.parametrize("backward", [False, True])
+def test_gradients_through_time(backward):
+    """Backpropagation against differences, in double precision."""
+    rng = np.random.default_rng(1)
+    u, gx, goal = rng.standard_normal((3, 4, 4)) * 0.6, rng.standard_normal((5, 3, 2, 4)), rng.standard_normal((5, 2, 4))
+
+    def loss(u, gx):
+        return float((goal * gru.train_forward(u, gx, backward, np.float64)["out"]).sum())
+
+    keep = gru.train_forward(u, gx, backward, np.float64)
+    du, dgx = gru.train_backward(u, keep, goal, backward)
+    for array, grad in ((u, du), (gx, dgx)):
+        for at in rng.choice(array.size, 30, replace=False):
+            old, step = array.flat[at], 1e-6
+            array.flat[at] = old + step
+            up = loss(u, gx)
+            array.flat[at] = old - step
+            down = loss(u, gx)
+            array.flat[at] = old
+            assert math.isclose((up - down) / 2e-6, grad.flat[at], rel_tol=1e-5, abs_tol=1e-7)
+    ids = rng.integers(0, 7, (6, 3))
+    tables, out = rng.standard_normal((3, 7, 4)).astype(np.float32), np.empty((6, 3, 4), np.float32)
+    gru.run(u.astype(np.float32), tables, ids, out, backward)
+    assert np.allclose(out, gru.train_forward(u, tables[:, ids].transpose(1, 0, 2, 3), backward)["out"], atol=1e-5)
+
+
+def test_gradients_of_attention():
+    """The whole toxicity loss against differences (single precision, so loosely)."""
+    enc = toxicity.Encoder(["you are bad bad people", "a calm and quiet day", ""])
+    rng = np.random.default_rng(2)
+    model = gru.init(rng, 4) | {f"{k}{d}": (rng.standard_normal((3, 8192, 4)) * 0.5).astype(np.float32) for k in "wc" for d in "fb"}
+    model |= {"v": rng.standard_normal(8).astype(np.float32), "o": rng.standard_normal(8).astype(np.float32), "bias": np.zeros(1, np.float32)}
+    goal = np.array([1, 0, 0])
+
+    def loss():
+        z = toxicity.logits(model, {d: toxicity.inputs(model, d, enc.words) for d in "fb"}, enc.windows).astype(float)
+        return float(np.mean(np.logaddexp(0, z) - goal * z))
+
+    grads = toxicity._learn(model, enc, np.arange(3), goal)
+    for name in ("uf", "ub", "v", "o", "bias", "wf", "cb"):
+        g = grads[name]
+        at = int(np.abs(g).argmax())
+        old = model[name].flat[at]
+        model[name].flat[at] = old + 0.01
+        up = loss()
+        model[name].flat[at] = old - 0.01
+        down = loss()
+        model[name].flat[at] = old
+        assert math.isclose((up - down) / 0.02, g.flat[at], rel_tol=0.05, abs_tol=1e-4), name
+
+
+def test_many_languages():
+    pairs = [(f"l{k}", chr(97 + k % 26) * 9 + chr(97 + k // 26) * 9) for k in range(230)]
+    assert len(langid.fit(pairs, steps=3)["langs"]) == 230
+
+
+def test_toxic_labels_on_long_texts(spark):
+    calm, rude = "the weather was mild and we walked along the river " * 1500, "you are vile scum and filth "
+    rows = docs(spark, *[(k, calm[: 60_000 + k] + (rude if k % 2 else "") + calm[:3000], "s") for k in range(24)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(24)], "doc_id long, toxic int")
+    pairs = toxicity.sample(rows, labels)
+    assert {y for _, y in pairs} == {0, 1} and all(len(t) > 60_000 for t, _ in pairs)
+    assert sum(len(t) for t, y in toxicity.sample(rows, labels, max_chars=150_000) if y) <= 150_000
+    model = toxicity.fit(pairs, steps=60)
+    score = toxicity.score_texts(model, [calm, calm + rude])
+    assert score[1] > 0.5 > score[0]
+
+
+def test_warc_payloads_are_rebuilt(spark):
+    big = "".join(chr(33 + k % 90) for k in range(700_000)) + "é"
+    pages = spark.createDataFrame([(1, "u" * 1_000_000, "a"), (2, "http://b/", big), (3, "v", "")], "page_id long, url string, html string").coalesce(1)
+    path = warc.common.scratch(spark, "warc")
+    warc.write(pages, path, segment_bytes=300_000)
+    rows = warc.read(spark, path, 100_000).collect()
+    by = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r.chunk_no):
+        by[r.record_id.rsplit(":", 1)[1]].append(r)
+        assert r.chunk_bytes == len(r.chunk) <= 100_000
+    assert {i: b"".join(r.chunk for r in x).decode() for i, x in by.items()} == {"1": "a", "2": big, "3": ""}
+    assert all(hashlib.sha1(b"".join(r.chunk for r in x[: k + 1])).digest() == base64.b32decode(x[k].sha1) for x in by.values() for k in range(len(x)))
+    with pytest.raises(ValueError, match="compression"):
+        warc.write(pages, path, "none")
 
 
 def test_pipeline_drops_repeats_in_large_sources(spark):
