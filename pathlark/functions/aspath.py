@@ -1,7 +1,12 @@
 r"""Regular expressions over AS paths.
 
-A pattern is parsed into a small tree, simplified, and either turned into a Java regular expression
-over the text form of a path (",174,3356,": stays in the JVM) or run by a linear-time matcher.
+A pattern is parsed into a small tree and simplified. Only the ASNs that it names matter, so a path is first written with
+one letter for each of them and one for all others. Then it is one of
+
+* a Java regular expression over those letters, where repetition is over single ASNs only and at most twice in a row, so
+  neither the stack nor backtracking beyond the square of a path is needed;
+* a deterministic automaton, folded over the path by built-in functions: linear, whatever the pattern and length;
+* a nondeterministic automaton over Arrow batches, linear too, where the deterministic one would be very large.
 
 Grammar: numbers, ``!N`` (one ASN that isn't N), ``.`` (any ASN), ``^`` and ``$`` (ends of the path),
 sequence, ``|``, groups, and ``* + ?`` after an ASN, a dot or a group. Matching is unanchored.
@@ -122,35 +127,79 @@ def repeated(part, op: str):
     return Rep(part, op)
 
 
-def to_java(node) -> str:
-    """Part of a Java regular expression over the text form of a path."""
+def named(node) -> list[int]:
+    """The ASNs that a pattern names, ascending."""
+    if isinstance(node, One):
+        return [] if node.asn is None else [node.asn]
+    parts = (node.part,) if isinstance(node, Rep) else getattr(node, "parts", ())
+    return sorted({x for p in parts for x in named(p)})
+
+
+def _letter(k: int) -> str:
+    """The letter of class k; class 0 is every ASN that isn't named."""
+    return chr(0x4E00 + k)
+
+
+def to_java(node, asns: list[int]) -> str:
+    """Part of a Java regular expression over the letters of a path."""
     if isinstance(node, One):
         if node.asn is None:
-            return r"(?:\d+,)"
-        return rf"(?:(?!{node.asn},)\d+,)" if node.negated else f"(?:{node.asn},)"
+            return "."
+        return ("[^%s]" if node.negated else "%s") % _letter(asns.index(node.asn) + 1)
     if isinstance(node, Edge):
-        return "(?<=^,)" if node.start else r"\z"
+        return r"\A" if node.start else r"\z"
     if isinstance(node, Rep):
-        return f"(?:{to_java(node.part)}){node.op}"
+        one = _single(node.part)
+        if one is None:
+            return f"(?:{to_java(node.part, asns)}){node.op}"
+        choices = "".join(to_java(x, asns) for x in one)
+        return (choices if len(one) == 1 else f"[{choices}]") + node.op
     if isinstance(node, Alt):
-        return "(?:" + "|".join(map(to_java, node.parts)) + ")"
-    return "".join(map(to_java, node.parts))
+        return "(?:" + "|".join(to_java(p, asns) for p in node.parts) + ")"
+    return "".join(to_java(p, asns) for p in node.parts)
+
+
+def _single(node) -> list[One] | None:
+    """The choices of a node that always takes one ASN: any one, or named ones."""
+    while isinstance(node, Cat) and len(node.parts) == 1:
+        node = node.parts[0]
+    if isinstance(node, One):
+        return [node]
+    if isinstance(node, Alt):
+        found = [_single(p) for p in node.parts]
+        if all(f is not None and all(x.asn is not None and not x.negated for x in f) for f in found):
+            return [x for f in found for x in f]
+    return None
+
 
+def path_letters(as_path: Column, asns: list[int]) -> Column:
+    """array<long> to one letter for each ASN."""
+    known = [v for k, n in enumerate(asns) for v in (F.lit(n).cast("long"), F.lit(_letter(k + 1)))]
 
-def path_text(as_path: Column) -> Column:
-    """array<long> to ",174,3356,"; the empty path is ","."""
-    return F.concat(F.lit(","), F.array_join(F.transform(as_path, lambda x: F.concat(x.cast("string"), F.lit(","))), ""))
+    def letter(x: Column) -> Column:
+        return F.coalesce(F.element_at(F.create_map(*known), x), F.lit(_letter(0))) if known else F.lit(_letter(0))
+
+    return F.array_join(F.transform(as_path, letter), "")
 
 
 def is_safe(node) -> bool:
-    """Whether backtracking can't take more than linear time for each start: no repetition within repetition."""
+    """Whether a backtracking matcher needs neither deep recursion nor more than the square of a path: repetition of single ASNs, two in a row at most."""
 
-    def depth(n) -> int:
+    def repeats(n) -> int:
         if isinstance(n, Rep):
-            return (n.op != "?") + depth(n.part)
-        return max(map(depth, n.parts), default=0) if isinstance(n, (Cat, Alt)) else 0
+            if n.op == "?":
+                return repeats(n.part)
+            return 1 if _single(n.part) is not None else 99
+        if isinstance(n, Alt):
+            return max(map(repeats, n.parts), default=0)
+        return sum(map(repeats, n.parts)) if isinstance(n, Cat) else 0
+
+    def anchored(n) -> bool:
+        if isinstance(n, Alt):
+            return all(map(anchored, n.parts))
+        return isinstance(n, Edge) and n.start or isinstance(n, Cat) and bool(n.parts) and anchored(n.parts[0])
 
-    return depth(node) < 2
+    return repeats(node) + (not anchored(node)) <= 2
 
 
 class Machine:
@@ -204,15 +253,79 @@ class Machine:
         return False
 
 
+#: States times classes of a deterministic automaton at most; beyond, the nondeterministic one runs.
+MAX_TABLE = 4096
+#: ASNs that a pattern over letters names at most.
+LETTERS = 20_000
+
+
+def table(node, limit: int = MAX_TABLE) -> tuple[list[int], list[int], list[bool]] | None:
+    """(ASNs named, next state by state * classes + class, whether a path that ends in a state matches), None beyond the limit.
+
+    State 0 is the start, 1 is "has matched". Classes are 0 for all other ASNs and then one for each named ASN.
+    """
+    machine, asns = Machine(node), named(node)
+
+    def closure(now: frozenset, start: bool, end: bool) -> set[int]:
+        seen, work = set(), [*now, machine.start]
+        while work:
+            k = work.pop()
+            if k not in seen:
+                seen.add(k)
+                kind, value, to = machine.steps[k]
+                if kind == "split" or kind == "edge" and (start if value else end):
+                    work += to
+        return seen
+
+    width = len(asns) + 1
+    states: dict = {(frozenset(), True): 0, "matched": 1}
+    moves, ends, queue = [[], [1] * width], [False, True], [(frozenset(), True)]
+    while queue:
+        now, start = queue.pop()
+        at = states[now, start]
+        ends[at] = machine.final in closure(now, start, True)
+        seen = closure(now, start, False)
+        if machine.final in seen:
+            moves[at] = [1] * width
+            continue
+        for c in range(width):
+            x = asns[c - 1] if c else None
+            to = frozenset(machine.steps[k][2][0] for k in seen if machine.steps[k][0] == "one" and (machine.steps[k][1].asn is None or (machine.steps[k][1].asn == x) != machine.steps[k][1].negated))
+            if machine.final in closure(to, False, False):
+                moves[at].append(1)
+                continue
+            if (to, False) not in states:
+                states[to, False] = len(moves)
+                moves.append([])
+                ends.append(False)
+                queue.append((to, False))
+                if len(moves) * width > limit:
+                    return None
+            moves[at].append(states[to, False])
+    return asns, [x for row in moves for x in row], ends
+
+
+def _numbers(values: Sequence[int]) -> Column:
+    """An array literal of longs, from one string that is folded when the query is planned."""
+    return F.split(F.lit(",".join(str(int(v)) for v in values)), ",").cast("array<bigint>")
+
+
 def matches(as_path: Column, pattern: str, engine: str = "auto") -> Column:
     """Whether a path (array<long>) matches; null for a null path.
 
-    engine: "java" (JVM, backtracking), "linear" (Arrow batches to the automaton), or "auto": the
-    automaton only for patterns that still have repetition within repetition.
+    engine: "java", "table" (deterministic, built-ins), "linear" (nondeterministic, Arrow batches), or "auto".
     """
     node = parse(pattern)
-    if engine == "java" or engine == "auto" and is_safe(node):
-        return path_text(as_path).rlike(f",(?:{to_java(node)})")
+    asns = named(node)
+    if engine == "java" or engine == "auto" and is_safe(node) and len(asns) < LETTERS:
+        return path_letters(as_path, asns).rlike(f"(?s)(?:{to_java(node, asns)})")
+    found = table(node) if engine in ("auto", "table") else None
+    if found is not None:
+        asns, moves, ends = found
+        width = len(asns) + 1
+        place = (lambda x: F.array_position(_numbers(asns), x).cast("int")) if asns else (lambda x: F.lit(0))
+        last = F.aggregate(as_path, F.lit(0).cast("long"), lambda state, x: F.get(_numbers(moves), (state * width + place(x)).cast("int")))
+        return F.get(_numbers(ends), last.cast("int")) == 1
     machine = Machine(node)
 
     @F.pandas_udf("boolean")

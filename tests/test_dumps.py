@@ -7,6 +7,7 @@ import lzma
 import pytest
 
 from pathlark import cli
+from pathlark.functions import aspath
 from pathlark.operators import lines, peers
 from pathlark.plans import lower, parser
 from pathlark.sources import encode as X
@@ -60,8 +61,18 @@ def test_filters(spark, folder, expression, want):
 
 def test_engines_agree(spark, folder):
     df = mrt.read(spark, str(folder / "a.mrt"))
-    for e in ("-aspath '(1|2)+'", "-aspath '^174 .* 65001$'"):
-        assert {r.rec_no for r in lower.select(df, e, "java").collect()} == {r.rec_no for r in lower.select(df, e, "linear").collect()}
+    for e in ("-aspath '(1|2)+'", "-aspath '^174 .* 65001$'", "-aspath '(1 2|3)+ $'"):
+        one, *rest = ({r.rec_no for r in lower.select(df, e, engine).collect()} for engine in ("java", "linear", "table", "auto"))
+        assert all(x == one for x in rest)
+
+
+def test_very_long_paths(spark):
+    """Patterns that would need deep recursion or much backtracking, on paths of 20,000 ASNs."""
+    rows = [("odd", [1, 3] * 10_000), ("pairs", [1, 2] * 10_000), ("ones", [1] * 20_000), ("last", [1] * 19_999 + [5]), ("none", None), ("empty", [])]
+    df = spark.createDataFrame(rows, "name string, as_path array<bigint>")
+    wants = {"^ (1|3)* $": {"odd", "ones", "empty"}, "^ (1 2)+ $": {"pairs"}, ".* .* .* 5": {"last"}, "^ (1|3 1)* $": {"ones", "empty"}, "^ 1 (. .)* 5 $": {"last"}, "(1? 1?)* 7": set(), "1" + " ." * 13 + " 5": {"last"}}
+    for pattern, want in wants.items():
+        assert {r.name for r in df.where(aspath.matches(df.as_path, pattern)).collect()} == want, pattern
 
 
 def codes(data, name="x"):

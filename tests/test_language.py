@@ -20,13 +20,26 @@ CASES = [
 ]
 
 
+def by_java(node, path):
+    asns = aspath.named(node)
+    text = "".join(aspath._letter(asns.index(x) + 1 if x in asns else 0) for x in path)
+    return bool(re.search(f"(?s)(?:{aspath.to_java(node, asns)})".replace(r"\z", r"\Z"), text))
+
+
+def by_table(node, path):
+    asns, moves, ends = aspath.table(node)
+    state = 0
+    for x in path:
+        state = moves[state * (len(asns) + 1) + (asns.index(x) + 1 if x in asns else 0)]
+    return ends[state]
+
+
 @pytest.mark.parametrize("pattern,hits", CASES)
 def test_patterns(pattern, hits):
     node = aspath.parse(pattern)
-    machine, java = aspath.Machine(node), re.compile(f",(?:{aspath.to_java(node)})".replace(r"\z", r"\Z"))
-    text = lambda p: "," + "".join(f"{x}," for x in p)
-    assert [k for k, p in enumerate(PATHS) if machine.search(p)] == hits
-    assert [k for k, p in enumerate(PATHS) if java.search(text(p))] == hits
+    machine = aspath.Machine(node)
+    for engine in (machine.search, lambda p: by_java(node, p), lambda p: by_table(node, p)):
+        assert [k for k, p in enumerate(PATHS) if engine(p)] == hits
 
 
 @pytest.mark.parametrize("bad", ["", "!", "!.", "! (1)", "(1", "1)", "*", "^*", "|+", "4294967296", "a", "1 !^"])
@@ -39,12 +52,18 @@ _atom = st.sampled_from(["1", "2", "!1", ".", "3"])
 _pattern = st.recursive(_atom, lambda p: st.one_of(st.tuples(p, p).map(" ".join), st.tuples(p, p).map(lambda t: f"({t[0]}|{t[1]})"), st.tuples(p, st.sampled_from("*+?")).map(lambda t: f"({t[0]}){t[1]}"), p.map(lambda x: f"^{x}"), p.map(lambda x: f"{x}$")), max_leaves=5)
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(_pattern, st.lists(st.integers(1, 4), max_size=6))
-def test_both_engines_agree(pattern, path):
+def test_engines_agree(pattern, path):
     node = aspath.parse(pattern)
-    java = re.compile(f",(?:{aspath.to_java(node)})".replace(r"\z", r"\Z"))
-    assert aspath.Machine(node).search(path) == bool(java.search("," + "".join(f"{x}," for x in path)))
+    assert aspath.Machine(node).search(path) == by_java(node, path) == by_table(node, path)
+
+
+def test_engines_by_pattern():
+    safe = lambda p: aspath.is_safe(aspath.parse(p))
+    assert all(map(safe, ["^1 .* 2$", "1 (2+|3+) 4", "^(1|3)* $", "1* 2", "^100* 107? 108+$"]))
+    assert not any(map(safe, ["(1 2)+", ".* .* .* 5", "(1? 1?)*", "(1|2 3)*", "1+ 2+"]))
+    assert aspath.table(aspath.parse("1" + " ." * 12)) is None  # 2^12 states
 
 
 def test_nested_repetition_is_flattened():
