@@ -2,27 +2,36 @@
 
     grep [-o FILE] [--explain] FILES... [EXPRESSION]   messages that pass, as lines
     peers [-r] [-o FILE] FILES...                      peer tables; -r: only the peers referred to
-    legacy OPTIONS FILES...                            the older option set
+    legacy OPTIONS FILES...                            the older option set; with PRETEND set, says what it would run
 
-FILES may be - for uncompressed standard input, which is also read without FILES. What is malformed is
-told on standard error, and the exit status is then 1.
+Options: -o, --output FILE; -r, --only-refs; --explain; -h, --help. -- ends them, and values may follow =. FILES may be - for
+uncompressed standard input, which is also read without FILES; a file that is given twice is read twice. What is
+malformed is told on standard error, and the exit status is then 1.
 """
 
 from __future__ import annotations
 
 import os
-import shutil
+import shlex
 import sys
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import names
 from .operators import legacy, lines, peers
 from .plans import expr, lower, parser
 from .sources import mrt
 
 
+COMMANDS = ("grep", "peers", "legacy")
+#: Options to (name, whether they take a value).
+OPTIONS = {"-o": ("output", True), "--output": ("output", True), "-r": ("refs", False), "--only-refs": ("refs", False), "--explain": ("explain", False)}
+
+
 def split_arguments(args: Sequence[str]) -> tuple[list[str], list[str]]:
     """(files, expression): the expression starts at the first argument that is ( or ! or starts with a dash and more."""
     for k, a in enumerate(args):
@@ -31,32 +40,62 @@ def split_arguments(args: Sequence[str]) -> tuple[list[str], list[str]]:
     return list(args), []
 
 
-def _spooled(files: list[str]) -> list[str]:
-    """The files, with standard input copied to one."""
+def options(args: Sequence[str]) -> tuple[dict[str, str | bool], list[str]]:
+    """(options, rest). Options stand before the first file; flags of one letter may be joined, and -- ends the options."""
+    found, args = {}, list(args)
+    while args and args[0].startswith("-") and args[0] != "-":
+        name, eq, value = args[0].partition("=")
+        flags = [name] if name.startswith("--") else [f"-{c}" for c in name[1:]]
+        if name == "--":
+            return found, args[1:]
+        if not all(f in OPTIONS for f in flags):
+            break  # the expression
+        args.pop(0)
+        for k, f in enumerate(flags):
+            name, takes = OPTIONS[f]
+            if takes:
+                if k < len(flags) - 1:
+                    raise ValueError(f"{f} takes a value")
+                if not eq and not args:
+                    raise ValueError(f"{f}: a value is missing")
+                found[name] = value if eq else args.pop(0)
+            else:
+                if eq:
+                    raise ValueError(f"{f} takes no value")
+                found[name] = True
+    return found, args
+
+
+def _spooled(spark: SparkSession, files: list[str]) -> list[str]:
+    """The files, with standard input copied to one that all executors can read: in spark.checkpoint.dir, or a local session's temporary folder."""
     out, spool = [], None
     for f in files or ["-"]:
         if f == "-":
             if spool is None:
-                fd, spool = tempfile.mkstemp(suffix=".mrt")
-                with os.fdopen(fd, "wb") as to:
-                    shutil.copyfileobj(sys.stdin.buffer, to)
+                sc = spark.sparkContext
+                folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+                if not folder and not sc.master.startswith("local"):
+                    raise ValueError("to read standard input on a cluster, spark.checkpoint.dir must name a shared folder")
+                at = sc._jvm.org.apache.hadoop.fs.Path(f"{folder or tempfile.gettempdir()}/stdin-{uuid.uuid4().hex}.mrt")
+                fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+                to = fs.create(at)
+                while piece := sys.stdin.buffer.read(1 << 20):
+                    to.write(piece)
+                to.close()
+                fs.deleteOnExit(at)
+                spool = at.toString()
             f = spool
         out.append(f)
-    return list(dict.fromkeys(out))
+    return out
 
 
 def filtered_lines(spark: SparkSession, files: Sequence[str], expression: Sequence[str] | str = ()) -> DataFrame:
     """Lines of the messages that pass, and of all state changes, in file and record order."""
     keep = ("file", "rec_no", "entry_no")
-    passed = lines.message_lines(lower.select(mrt.read(spark, files), parser.parse(expression)), keep)
-    from pyspark.sql import functions as F
-
+    passed = lines.message_lines(lower.scan(spark, files, expression, lines.READS), keep)
     states = mrt.read(spark, files, "state_change").withColumn("entry_no", F.lit(0))
-    both = passed.unionByName(lines.state_lines(states, keep))
-    rank = F.lit(len(files))
-    for k, p in reversed(list(enumerate(files))):
-        rank = F.when(F.col("file").endswith(p.rsplit("/", 1)[-1]), k).otherwise(rank)
-    return both.orderBy(rank, *keep, "line_no")
+    both = mrt.by_argument(passed.unionByName(lines.state_lines(states, keep)), files)
+    return both.orderBy("file_no", *keep, "line_no")
 
 
 def _emit(rows, output: str | None) -> None:
@@ -71,41 +110,42 @@ def _errors(spark: SparkSession, files: Sequence[str]) -> int:
     found = 0
     for r in mrt.in_order(mrt.read(spark, files, "error_log"), files).toLocalIterator():
         found += r["level"] != "warning"
-        print(f"{r['file']}: record {r['rec_no']}: {r['level']}: {r['code']}", file=sys.stderr)
+        print(f"{r['file']}: record {r['rec_no']}: {r['level']}: {names.error_text(r['code'])} ({r['code']})", file=sys.stderr)
     return found
 
 
 def main(argv: Sequence[str], spark: SparkSession | None = None) -> int:
-    if not argv or argv[0] not in ("grep", "peers", "legacy"):
+    if argv and argv[0] in ("-h", "--help") or len(argv) > 1 and argv[0] in COMMANDS and argv[1] in ("-h", "--help"):
+        print(__doc__)
+        return 0
+    if not argv or argv[0] not in COMMANDS:
         print(__doc__, file=sys.stderr)
         return 2
     name, args = argv[0], list(argv[1:])
-    output, explain, only_refs = None, False, False
     try:
         if name == "legacy":
             cmd = legacy.parse(args)
-            files, expression, output, explain = cmd.files, cmd.expression, cmd.output, cmd.show_plan
-            name, only_refs = ("peers", True) if cmd.peers_only else ("grep", False)
+            files, expression, found = cmd.files, cmd.expression, {"output": cmd.output, "explain": cmd.show_plan, "refs": cmd.peers_only}
+            name = "peers" if cmd.peers_only else "grep"
+            if os.environ.get("PRETEND"):
+                print(shlex.join(["pathlark", name, *(["-o", cmd.output] if cmd.output else []), *(["-r"] if cmd.peers_only else []), *files, *expression]))
+                return 0
         else:
-            while args and args[0] in ("-o", "--output", "-r", "--explain"):
-                flag = args.pop(0)
-                if flag in ("-o", "--output"):
-                    output = args.pop(0)
-                explain, only_refs = explain or flag == "--explain", only_refs or flag == "-r"
+            found, args = options(args)
             files, expression = split_arguments(args) if name == "grep" else (args, [])
         tree = parser.parse(expression)
-    except (ValueError, IndexError) as e:
+    except ValueError as e:
         print(f"pathlark: {e}", file=sys.stderr)
         return 2
     spark = spark or SparkSession.builder.getOrCreate()
-    files = _spooled(files)
-    if explain:
+    files = _spooled(spark, files)
+    if found.get("explain"):
         print(expr.show(tree), file=sys.stderr)
     if name == "peers":
         table = mrt.read(spark, files, "peer_index")
-        rows = peers.listing(table, mrt.read(spark, files, "peer_ref") if only_refs else None)
-        rows = rows.orderBy("file", "table_no", "peer_idx").select("line")
+        rows = mrt.by_argument(peers.listing(table, mrt.read(spark, files, "peer_ref") if found.get("refs") else None), files)
+        rows = rows.orderBy("file_no", "file", "table_no", "peer_idx").select("line")
     else:
         rows = filtered_lines(spark, files, expression).select("line")
-    _emit(rows.toLocalIterator(), output)
+    _emit(rows.toLocalIterator(), found.get("output"))
     return int(_errors(spark, files) > 0)

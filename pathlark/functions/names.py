@@ -51,3 +51,8 @@ def code_of(text: str, table: dict[str, int], what: str, most: int = 255) -> int
     if not 0 <= number <= most:
         raise ValueError(f"bad {what}: {text!r}")
     return number
+
+
+def error_text(code: str) -> str:
+    """An error code in words."""
+    return code.replace("_", " ").lower().replace("mp reach", "MP_REACH_NLRI").replace("mp unreach", "MP_UNREACH_NLRI").replace("bgp4mp", "BGP4MP").replace("rib", "RIB").replace("afi safi", "AFI and SAFI")

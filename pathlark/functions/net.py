@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ipaddress
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ IPV4, IPV6 = 1, 2
 PREFIX = "struct<afi:int,safi:int,path_id:bigint,len:int,net:binary,key:string,text:string>"
 
 
+@lru_cache(1 << 16)
 def ip_text(raw: bytes) -> str:
     """Text of 4 or 16 bytes. IPv6: the run of zero groups that is longest as written is left out; one group alone stays."""
     if len(raw) == 4:
@@ -101,6 +103,22 @@ def ipv4_prefix(number: Column, length: Column, path_id: Column | None = None) -
     )
 
 
+def with_path_id(prefix: Column) -> Column:
+    """A prefix as text, after its path id if it has one."""
+    return F.concat_ws(" ", prefix["path_id"].cast("string"), prefix["text"])
+
+
+def is_v4_mapped(addr: Column) -> Column:
+    """Whether an address in bytes is an IPv4 address within IPv6 (::ffff:0:0/96)."""
+    return (F.length(addr) == 16) & (F.substring(addr, 1, 12) == F.lit(bytes(10) + b"\xff\xff"))
+
+
+def is_multicast(addr: Column) -> Column:
+    """Whether an address in bytes is one of 224.0.0.0/4 or ff00::/8."""
+    first = F.conv(F.hex(F.substring(addr, 1, 1)), 16, 10).cast("int")
+    return F.when(F.length(addr) == 4, first.between(224, 239)).otherwise(first == 255)
+
+
 def key_column(net: Column, length: Column) -> Column:
     """The key of a network in 4 or 16 bytes."""
     bits = lambda start, n: F.lpad(F.conv(F.hex(F.substring(net, start, n)), 16, 2), 8 * n, "0")

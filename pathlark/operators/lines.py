@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import names
 
 RIB_KINDS, CORRUPT = ("TABLE_DUMP", "TABLE_DUMPV2"), "~CORRUPTED~"
+#: The columns from path attributes that lines show.
+READS = {"as_path_segs", "origin", "aggregator", "communities", "large_communities"}
 
 
 def _named(code: Column, table: dict[str, int]) -> Column:

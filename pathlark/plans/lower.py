@@ -1,7 +1,7 @@
 """Predicates to Spark: boolean Columns that stay in the JVM, and joins for very long prefix lists.
 
 Every term is two-valued: what needs an UPDATE is false, not null, for other messages, so negation
-keeps them. Long literal lists become hash sets (Catalyst's InSet), looked up per prefix length, so
+keeps them. A filter gets the bare comparisons wherever null and false mean the same, as Parquet can skip by those. Long literal lists become hash sets (Catalyst's InSet), looked up per prefix length, so
 a filter never shuffles. Lists held in a table go through `matching_keys`, an equi-join on key prefixes.
 """
 
@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import aspath, names
+from ..sources import mrt
 from . import expr as E
 from .parser import REGISTERED, parse
 
@@ -56,13 +57,13 @@ def _peer(items: tuple[E.PeerItem, ...]) -> Column:
     if plain_asn:
         tests.append(F.col("peer_asn").isin(plain_asn))
     if plain_addr:
-        tests.append(F.hex("peer_addr_bin").isin([a.hex().upper() for a in plain_addr]))
+        tests.append(F.col("peer_addr_bin").isin([F.lit(a) for a in plain_addr]))
     for i in items:
         if i.addr is None and not i.asn_not or i.asn is None and not i.addr_not:
             continue
         both = []
         if i.addr is not None:
-            same = F.hex("peer_addr_bin") == i.addr.hex().upper()
+            same = F.col("peer_addr_bin") == F.lit(i.addr)
             both.append(~same if i.addr_not else same)
         if i.asn is not None:
             same = F.col("peer_asn") == i.asn
@@ -115,8 +116,26 @@ def _any_community(patterns: tuple[E.Community, ...], c: Column) -> Column:
     return reduce(Column.__or__, tests)
 
 
+def _moment(op: str, micros: int) -> Column:
+    """A comparison of (ts_secs, ts_micros), in terms of either column alone."""
+    s, u = F.col("ts_secs"), F.coalesce("ts_micros", F.lit(0))
+    secs, part = divmod(micros, 1_000_000)
+    if op == "=":
+        return (s == secs) & (u == part)
+    if op == "!":
+        return (s != secs) | (u != part)
+    if op in ("<", "<="):
+        return (s <= secs) & ((s < secs) | (u < part if op == "<" else u <= part))
+    return (s >= secs) & ((s > secs) | (u > part if op == ">" else u >= part))
+
+
 def leaf_column(e, engine: str = "auto") -> Column:
     """One term, never null."""
+    return F.coalesce(_leaf(e, engine), F.lit(False))
+
+
+def _leaf(e, engine: str) -> Column:
+    """One term; null stands for false."""
     col = F.col
     update = col("msg_type") == names.UPDATE
     if isinstance(e, E.Const):
@@ -137,8 +156,7 @@ def leaf_column(e, engine: str = "auto") -> Column:
         sides = [F.coalesce(F.exists(side, _prefix_test(e.mode, keys)), F.lit(False)) for side, keys in (("announced", e.announced), ("withdrawn", e.withdrawn)) if keys]
         test = reduce(Column.__or__, sides)
     elif isinstance(e, E.Moment):
-        when, goal = col("ts_secs") * 1_000_000 + col("ts_micros"), F.lit(e.micros)
-        test = {"<": when < goal, "<=": when <= goal, "=": when == goal, ">=": when >= goal, ">": when > goal, "!": when != goal}[e.op]
+        test = _moment(e.op, e.micros)
     elif isinstance(e, E.Communities) and e.every:
         test = update & reduce(Column.__and__, [F.exists("communities", _community_test(p)) for p in e.patterns])
     elif isinstance(e, E.Communities):
@@ -147,24 +165,61 @@ def leaf_column(e, engine: str = "auto") -> Column:
         test = REGISTERED[e.name][1](*e.args)
     else:
         raise TypeError(f"no such term: {e!r}")
-    return F.coalesce(test, F.lit(False))
+    return test
 
 
-def to_column(tree, engine: str = "auto") -> Column:
-    """A whole predicate as a Column that is never null."""
-    if isinstance(tree, str) or isinstance(tree, (list, tuple)):
+def to_filter(tree, engine: str = "auto") -> Column:
+    """A whole predicate as a condition; null stands for false."""
+    if isinstance(tree, (str, list, tuple)):
         tree = parse(tree)
     if isinstance(tree, E.Not):
-        return ~to_column(tree.part, engine)
+        return ~F.coalesce(to_filter(tree.part, engine), F.lit(False))
     if isinstance(tree, (E.And, E.Or)):
         join = Column.__and__ if isinstance(tree, E.And) else Column.__or__
-        return reduce(join, [to_column(p, engine) for p in tree.parts])
-    return leaf_column(tree, engine)
+        return reduce(join, [to_filter(p, engine) for p in tree.parts])
+    return _leaf(tree, engine)
+
+
+def to_column(tree, engine: str = "auto") -> Column:
+    """A whole predicate as a Column that is never null."""
+    return F.coalesce(to_filter(tree, engine), F.lit(False))
+
+
+def early_test(tree):
+    """What a decoder can tell before it decodes a message: a function of (message type, seconds, microseconds, peer's
+    address in bytes, its ASN) that is false only if the predicate is, and may go to workers; None if there is no such term."""
+    if isinstance(tree, (str, list, tuple)):
+        tree = parse(tree)
+    tests = [t for t in (tree.parts if isinstance(tree, E.And) else [tree]) if all(isinstance(x, (E.MessageType, E.Peers, E.Moment)) for x in E.leaves(t))]
+    if not tests:
+        return None
+
+    def holds(e, kind: int, when: int, addr: bytes, asn: int) -> bool:
+        if isinstance(e, E.Not):
+            return not holds(e.part, kind, when, addr, asn)
+        if isinstance(e, (E.And, E.Or)):
+            return (all if isinstance(e, E.And) else any)(holds(p, kind, when, addr, asn) for p in e.parts)
+        if isinstance(e, E.MessageType):
+            return kind == e.code
+        if isinstance(e, E.Moment):
+            return {"<": when < e.micros, "<=": when <= e.micros, "=": when == e.micros, ">=": when >= e.micros, ">": when > e.micros, "!": when != e.micros}[e.op]
+        return any((i.addr is None or (i.addr == addr) != i.addr_not) and (i.asn is None or (i.asn == asn) != i.asn_not) for i in e.items)
+
+    return lambda kind, secs, micros, addr, asn: all(holds(t, kind, secs * 1_000_000 + micros, addr, asn) for t in tests)
 
 
 def select(messages: DataFrame, expression, engine: str = "auto") -> DataFrame:
     """The messages that pass a predicate (text, arguments or a tree)."""
-    return messages.where(to_column(expression, engine))
+    return messages.where(to_filter(expression, engine))
+
+
+def scan(spark: SparkSession, paths, expression=(), columns: set[str] | None = None, engine: str = "auto") -> DataFrame:
+    """The messages of dumps that pass. The decoder skips what type, peer or time rule out, and attributes that neither the
+    predicate nor `columns` (default: all) needs."""
+    tree = parse(expression) if isinstance(expression, (str, list, tuple)) else expression
+    needs = columns_read(tree)
+    want = None if columns is None or needs is None else columns | needs
+    return select(mrt.read(spark, paths, columns=want, keep=early_test(tree)), tree, engine)
 
 
 def explain_matches(messages: DataFrame, expression, engine: str = "auto") -> DataFrame:

@@ -22,21 +22,22 @@ def split_messages(data: bytes) -> Iterator[tuple[int, bytes]]:
     """(type, body) of each message of a raw BGP stream."""
     at = 0
     while at < len(data):
-        kind, body = message(data[at:], whole=False)
+        kind, body = message(data, at)
         yield kind, body
         at += 19 + len(body)
 
 
-def message(data: bytes, whole: bool = True) -> tuple[int, bytes]:
-    """(type, body) of one message; up to 65535 bytes."""
-    if len(data) < 19:
+def message(data: bytes, at: int | None = None) -> tuple[int, bytes]:
+    """(type, body) of one message of up to 65535 bytes: the whole of data, or that at a position."""
+    left = len(data) - (at or 0)
+    if left < 19:
         raise BgpError("TRUNCATED_MESSAGE")
-    if data[:16] != MARKER:
+    if not data.startswith(MARKER, at or 0):
         raise BgpError("BAD_MARKER")
-    size, kind = struct.unpack_from(">HB", data, 16)
-    if size < 19 or size > len(data) or whole and size != len(data):
+    size, kind = struct.unpack_from(">HB", data, (at or 0) + 16)
+    if size < 19 or size > left or at is None and size != left:
         raise BgpError("BAD_MESSAGE_LENGTH")
-    return kind, data[19:size]
+    return kind, data[(at or 0) + 19 : (at or 0) + size]
 
 
 def prefixes(data: bytes, afi: int, safi: int, add_path: bool) -> list[dict]:
@@ -106,6 +107,8 @@ def merged_path(attrs: dict[int, bytes], wide: bool) -> list[dict]:
     own = segments(attrs.get(2, b""), wide)
     if not {7, 18, 17} <= attrs.keys():
         return own
+    if len(attrs[18]) != 8:
+        raise BgpError("BAD_AGGREGATOR")
     new = segments(attrs[17], True)
     units = lambda segs: sum(1 if s["type"] in SETS else len(s["asns"]) for s in segs)
     left = units(own) - units(new)
@@ -132,8 +135,10 @@ def aggregator(attrs: dict[int, bytes], wide: bool) -> dict | None:
     if len(raw) != (8 if wide else 6):
         raise BgpError("BAD_AGGREGATOR")
     asn = int.from_bytes(raw[:-4], "big")
-    if asn == AS_TRANS and len(attrs.get(18, b"")) == 8:
+    if asn == AS_TRANS and 18 in attrs:
         raw = attrs[18]
+        if len(raw) != 8:
+            raise BgpError("BAD_AGGREGATOR")
         asn = int.from_bytes(raw[:4], "big")
     return {"asn": asn, "addr": ip_text(raw[-4:])}
 
@@ -169,29 +174,52 @@ def _strides(raw: bytes | None, size: int) -> list[bytes]:
     return [raw[k : k + size] for k in range(0, len(raw), size)]
 
 
+def _origin(attrs: dict[int, bytes]) -> int | None:
+    if 1 not in attrs:
+        return None
+    if len(attrs[1]) != 1 or attrs[1][0] > 2:
+        raise BgpError("BAD_ORIGIN")
+    return attrs[1][0]
+
+
+#: What each column from path attributes is made of.
+VALUES = {
+    "origin": lambda attrs, wide: _origin(attrs),
+    "aggregator": aggregator,
+    "communities": lambda attrs, wide: list(struct.unpack(f">{len(_strides(attrs.get(8), 4))}I", attrs.get(8, b""))),
+    "large_communities": lambda attrs, wide: [dict(zip(("global", "local1", "local2"), struct.unpack(">III", x))) for x in _strides(attrs.get(32), 12)],
+    "ext_communities": lambda attrs, wide: _strides(attrs.get(16), 8),
+}
+
+
 def route_columns(attrs: dict[int, bytes], wide: bool, want: set[str] | None) -> dict:
-    """The columns that come from path attributes; only the wanted ones are decoded."""
-    ask = lambda *names: want is None or not want.isdisjoint(names)
-    row: dict = {"attr_codes": list(attrs)}
-    if ask("as_path", "as_path_segs"):
-        row["as_path_segs"] = merged_path(attrs, wide)
-        row["as_path"] = [a for s in row["as_path_segs"] for a in s["asns"]]
-    if ask("origin") and 1 in attrs:
-        if len(attrs[1]) != 1 or attrs[1][0] > 2:
-            raise BgpError("BAD_ORIGIN")
-        row["origin"] = attrs[1][0]
-    row["atomic"] = 6 in attrs
-    if ask("aggregator"):
-        row["aggregator"] = aggregator(attrs, wide)
-    if ask("communities"):
-        row["communities"] = [int.from_bytes(x, "big") for x in _strides(attrs.get(8), 4)]
-    if ask("large_communities"):
-        row["large_communities"] = [dict(zip(("global", "local1", "local2"), struct.unpack(">III", x))) for x in _strides(attrs.get(32), 12)]
-    if ask("ext_communities"):
-        row["ext_communities"] = _strides(attrs.get(16), 8)
+    """The columns that come from path attributes; only the wanted ones are decoded. A value that can't be read is null,
+    and `error` has the code of the first such one."""
+    row: dict = {"attr_codes": list(attrs), "atomic": 6 in attrs}
+    try:
+        if want is None or "as_path" in want or "as_path_segs" in want:
+            row["as_path_segs"] = merged_path(attrs, wide)
+            row["as_path"] = [a for s in row["as_path_segs"] for a in s["asns"]]
+    except BgpError as e:
+        row["error"] = str(e)
+    for name, make in VALUES.items():
+        if want is None or name in want:
+            try:
+                row[name] = make(attrs, wide)
+            except BgpError as e:
+                row.setdefault("error", str(e))
     return row
 
 
+def _next_hop(attrs: dict[int, bytes], row: dict) -> list[str]:
+    """The addresses of NEXT_HOP; none, and an error of the row, if it can't be read."""
+    try:
+        return _addresses(attrs[3], IPV4) if 3 in attrs else []
+    except BgpError as e:
+        row.setdefault("error", str(e))
+        return []
+
+
 def update(body: bytes, wide: bool, add_path: bool, want: set[str] | None = None) -> dict:
     """Columns of an UPDATE."""
     if len(body) < 4:
@@ -206,7 +234,7 @@ def update(body: bytes, wide: bool, add_path: bool, want: set[str] | None = None
     row = route_columns(attrs, wide, want)
     row["withdrawn"] = prefixes(body[2 : 2 + n], IPV4, 1, add_path)
     row["announced"] = prefixes(body[4 + n + m :], IPV4, 1, add_path)
-    hops = _addresses(attrs[3], IPV4) if 3 in attrs else []
+    hops = _next_hop(attrs, row)
     if 14 in attrs:
         more, new = reach(attrs[14], add_path)
         hops, row["announced"] = hops + more, row["announced"] + new
@@ -222,8 +250,7 @@ def rib_entry(net: dict, attr_data: bytes, wide: bool, want: set[str] | None = N
     but stays a known attribute. drop_foreign: an MP_REACH_NLRI of another family is left out.
     """
     attrs = attributes(attr_data)
-    hops = _addresses(attrs[3], IPV4) if 3 in attrs else []
-    value = attrs.get(14)
+    hops, value = [], attrs.get(14)
     if value is not None:
         afi, raw = net["afi"], None
         if value and value[0] == len(value) - 1:
@@ -235,10 +262,11 @@ def rib_entry(net: dict, attr_data: bytes, wide: bool, want: set[str] | None = N
         if afi != net["afi"] and drop_foreign:
             del attrs[14]
         else:
-            hops = hops + _addresses(raw, afi)
+            hops = _addresses(raw, afi)
     if net["afi"] == IPV6 and 14 not in attrs:
         raise BgpError("MISSING_MP_REACH")
-    return route_columns(attrs, wide, want) | {"announced": [net], "withdrawn": [], "next_hops": hops}
+    row = route_columns(attrs, wide, want)
+    return row | {"announced": [net], "withdrawn": [], "next_hops": _next_hop(attrs, row) + hops}
 
 
 def open_capabilities(body: bytes) -> list[int]:

@@ -18,7 +18,6 @@ _FILES = "path string, modificationTime timestamp, length bigint, content binary
 
 def read_stream(spark: SparkSession, folder: str, relation: str = "message", columns: Sequence[str] | None = None, files_per_batch: int = 64) -> DataFrame:
     """A relation of all dumps in a folder, also of those that come later."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     files = spark.readStream.format("binaryFile").schema(_FILES).option("maxFilesPerTrigger", files_per_batch).load(folder)
     return files.select("path", "content").mapInArrow(mrt.decoder(relation, columns), mrt.SCHEMAS[relation])
 

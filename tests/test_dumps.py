@@ -129,8 +129,80 @@ def test_parquet_and_column_pruning(spark, folder, tmp_path):
     mrt.save(spark, str(folder / "a.mrt"), str(tmp_path / "out"))
     saved = spark.read.parquet(str(tmp_path / "out/message"))
     assert sorted(r.line for r in lines.message_lines(saved).collect()) == sorted(x for x in LINES if x[0] != "#")
-    slim = mrt.read(spark, str(folder / "a.mrt"), columns=lower.columns_read(parser.parse("-aspath '1 2'")))
-    assert lower.select(slim, "-aspath '1 2'").count() == 2 and slim.where("communities is not null").count() == 0
+    slim = lower.scan(spark, str(folder / "a.mrt"), "-aspath '1 2'", columns=set())
+    assert slim.count() == 2 and slim.where("communities is not null").count() == 0
+    assert sorted(d.name for d in (tmp_path / "out").iterdir()) == ["error_log", "message", "peer_index", "peer_ref", "state_change"]
+    assert spark.read.parquet(str(tmp_path / "out/state_change")).count() == 1 and spark.read.parquet(str(tmp_path / "out/peer_index")).count() == 2
+
+
+@pytest.mark.parametrize("expression,column", [("-type KEEPALIVE", "msg_type"), ("-timestamp '>=2021-06-03'", "ts_secs"), ("-timestamp '=1622725323.000030'", "ts_secs"), ("-peer 65001", "peer_asn"), ("-peer 2001:db8::1", "peer_addr_bin"), ("-type UPDATE -loops -peer ( '!10.0.0.9 65001' )", "msg_type")])
+def test_filters_reach_the_scan(spark, folder, tmp_path, expression, column):
+    mrt.save(spark, str(folder / "a.mrt"), str(tmp_path / "out"))
+    saved = spark.read.parquet(str(tmp_path / "out/message"))
+    found = lower.select(saved, expression)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters: [") :].split("ReadSchema")[0]
+    assert column in pushed.replace(f"IsNotNull({column})", ""), pushed
+    whole = {tuple(r) for r in saved.where(lower.to_column(expression)).select("rec_no", "entry_no").collect()}
+    assert {tuple(r) for r in found.select("rec_no", "entry_no").collect()} == whole
+    assert {tuple(r) for r in lower.scan(spark, str(folder / "a.mrt"), expression).select("rec_no", "entry_no").collect()} == whole
+
+
+def test_decoder_skips_early(monkeypatch):
+    made = []
+    whole = mrt.bgp.route_columns
+    monkeypatch.setattr(mrt.bgp, "route_columns", lambda *a: made.append(1) or whole(*a))
+    import io
+
+    for expression, n in (("-type OPEN", 0), ("-peer 174", 1), ("-timestamp '<1970-01-02'", 1), ("-peer 174 -or -loops", 4), ("-not -peer 65001 -timestamp '>1970-01-02' -loops", 1)):
+        made.clear()
+        list(mrt.Dump("x", {"message"}, None, lower.early_test(expression)).rows(io.BytesIO(DATA)))
+        assert len(made) == n, expression
+
+
+def test_bad_values_are_kept(spark, tmp_path):
+    bad = [X.attr(1, b"\7"), X.path([1, 2]), X.attr(3, b"\1\2"), X.attr(7, b"\0\1"), X.communities((1, 2)), X.attr(32, b"123")]
+    (tmp_path / "bad.mrt").write_bytes(X.session(5, X.bgp(2, X.update_body([X.nlri("10.0.0.0/8")], attrs=bad))) + X.session(6, X.bgp(4)))
+    assert [r.line for r in cli.filtered_lines(spark, [str(tmp_path / "bad.mrt")]).collect()] == ["+|10.0.0.0/8|1 2||||||10.0.0.2 65001|5|1~CORRUPTED~".replace("||||||", "|||||1:2|"), "@||||||||10.0.0.2 65001|6|1"]
+    assert codes((tmp_path / "bad.mrt").read_bytes()) == [("warning", "BAD_ORIGIN")]
+    assert mrt.from_bytes((tmp_path / "bad.mrt").read_bytes())[0]["error"] == "BAD_ORIGIN"
+
+
+def test_equal_names_and_repeats(spark, tmp_path):
+    for k, folder in enumerate(("x", "y")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.mrt").write_bytes(X.session(k, X.bgp(4)))
+    (tmp_path / "y" / "my-a.mrt").write_bytes(X.session(2, X.bgp(4)))
+    x, y, my = (str(tmp_path / p) for p in ("x/a.mrt", "y/a.mrt", "y/my-a.mrt"))
+    seconds = lambda files: [r.line.split("|")[9] for r in cli.filtered_lines(spark, files).collect()]
+    assert seconds([y, x, my]) == ["1", "0", "2"] and seconds([my, x, my]) == ["2", "0", "2"] and seconds([str(tmp_path / "y"), x]) == ["1", "2", "0"]
+
+
+def test_session_settings_stay(spark, folder):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    mrt.read(spark, str(folder / "a.mrt")).count()
+    dumps.read_stream(spark, str(folder))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_splitting_is_linear():
+    import time
+
+    data = X.bgp(4) * 400_000
+    began = time.time()
+    assert sum(1 for _ in mrt.bgp.split_messages(data)) == 400_000 and time.time() - began < 10
+
+
+def test_address_functions(spark):
+    from pyspark.sql import functions as F
+
+    from pathlark.functions import net
+
+    rows = [(net.ip_bytes(a),) for a in ("224.0.0.1", "10.0.0.1", "239.1.1.1", "ff02::1", "2001:db8::1", "::ffff:10.0.0.1")]
+    got = spark.createDataFrame(rows, "a binary").select(net.is_multicast(F.col("a")).alias("m"), net.is_v4_mapped(F.col("a")).alias("v")).collect()
+    assert [r.m for r in got] == [True, False, True, True, False, False] and [r.v for r in got] == [False] * 5 + [True]
+    p = spark.sql("SELECT named_struct('path_id', 7L, 'text', '10.0.0.0/8') p UNION ALL SELECT named_struct('path_id', NULL, 'text', '::/0')")
+    assert {r[0] for r in p.select(net.with_path_id(F.col("p"))).collect()} == {"7 10.0.0.0/8", "::/0"}
 
 
 def test_bare_messages(spark, tmp_path):
@@ -153,11 +225,20 @@ def test_registered_term(spark, folder):
     assert lower.select(mrt.read(spark, str(folder / "a.mrt")), "-min-hops 3").count() == 1
 
 
-def test_command_line(spark, folder, tmp_path, capsys):
+def test_command_line(spark, folder, tmp_path, capsys, monkeypatch):
     out = tmp_path / "lines"
     assert cli.main(["grep", "-o", str(out), "--explain", str(folder / "a.mrt"), "-loops"], spark) == 0
     assert out.read_text().splitlines() == [LINES[4]] and "PathLoops" in capsys.readouterr().err
     assert cli.main(["legacy", "-f", str(folder / "a.bz2")], spark) == 0 and "10.0.0.2 174|0" in capsys.readouterr().out
     (tmp_path / "bad.mrt").write_bytes(DATA[:-5])
     assert cli.main(["peers", str(tmp_path / "bad.mrt")], spark) == 1 and cli.main(["grep", "-bad"], spark) == 2
+    assert "truncated record (TRUNCATED_RECORD)" in capsys.readouterr().err
+    assert cli.main(["grep", "--help"], spark) == 0 and cli.main(["-h"], spark) == 0 and "grep [-o FILE]" in capsys.readouterr().out
+    assert cli.main(["grep", f"--output={out}", "--", str(folder / "a.mrt"), "-type", "OPEN"], spark) == 0 and out.read_text().splitlines() == [LINES[4], LINES[5]]
+    assert cli.options(["-ro", "x", "f"]) == ({"refs": True, "output": "x"}, ["f"]) and cli.options(["-loops"]) == ({}, ["-loops"])
+    assert cli.main(["grep", "-o"], spark) == 2 and cli.main(["peers", "--explain=1", "f"], spark) == 2
+    monkeypatch.setenv("PRETEND", "1")
+    assert cli.main(["legacy", "-p", "1 * 2", "a b"], spark) == 0 and capsys.readouterr().out == "pathlark grep 'a b' '(' -aspath '1 .* 2' ')'\n"
+    monkeypatch.setattr("sys.stdin", type("In", (), {"buffer": __import__("io").BytesIO(DATA)})())
+    assert cli.main(["grep", "-", "-type", "OPEN"], spark) == 0 and capsys.readouterr().out.splitlines() == [LINES[4], LINES[5]]
     assert cli.split_arguments(["a", "-", "!", "-loops"]) == (["a", "-"], ["!", "-loops"])
