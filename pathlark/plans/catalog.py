@@ -13,10 +13,10 @@ from ..functions import names
 from ..operators import legacy, lines, peers
 from ..sources import encode, mrt
 from ..streaming import dumps
-from . import lower, relation
+from . import dump_catalog, lower, relation
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES: dict = dict(dump_catalog.QUERIES)
+ORACLES: dict = dict(dump_catalog.ORACLES)
 FLAGSHIP = "flagship"
 
 _NET = lambda x: f"(((167772160 + ({x} * 7919) % 16777216) >> (24 - {x} % 25)::INT) << (24 - {x} % 25)::INT)"
@@ -237,6 +237,8 @@ def mrt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     schema = mrt._arrow(mrt.SCHEMAS["message"])
     src = relation.routes(spark, sf_dir).select("rec_no", "ts_secs", "peer_addr", "peer_asn", "as_path_segs", "origin", "atomic", "aggregator", "communities", "large_communities", F.col("announced")[0]["text"].alias("net"))
+    # few bytes, but much work for each: not to be left in the one task that their size would make
+    src = src.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     decoded = src.mapInArrow(run, mrt.SCHEMAS["message"]).withColumn("msg_id", F.col("rec_no"))
     return lines.message_lines(decoded, ("msg_id",)).drop("line_no")
 

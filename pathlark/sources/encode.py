@@ -89,9 +89,10 @@ def peer_table(peers: Iterable[tuple[str, int]], secs: int = 0, name: str = "",
 
 
 def rib(net: str, entries: Iterable[tuple], secs: int = 0, sub: int = 2, seq: int = 0) -> bytes:
-    """A TABLE_DUMPV2 table record; entries: (peer index, originated, attribute bytes[, path id])."""
+    """A TABLE_DUMPV2 table record; entries: (peer index, originated, attribute bytes[, path id]). Generic subtypes name the family."""
     entries = list(entries)
-    body = struct.pack(">I", seq) + nlri(net) + struct.pack(">H", len(entries))
+    family = struct.pack(">HB", 1 if len(parse_net(net).raw) == 4 else 2, 1) if sub in (6, 12) else b""
+    body = struct.pack(">I", seq) + family + nlri(net) + struct.pack(">H", len(entries))
     for idx, originated, attrs, *path_id in entries:
         body += struct.pack(">HI", idx, originated) + (struct.pack(">I", path_id[0]) if path_id else b"") + struct.pack(">H", len(attrs)) + attrs
     return record(secs, 13, sub, body)
