@@ -11,8 +11,9 @@ spans of the document, in code points; what lies within compressed data maps to
 Base64 that goes on over line breaks is taken as one blob, and each of its lines alone. A stream that isn't whole
 is reported as ``truncated``; what came out of it is scanned.
 
-Decompression that would pass ``max_layer_chars`` is not carried out; the blob is then reported
-itself as ``oversized``, so nothing goes unseen. Kinds of spans in layers are written
+A stream that inflates to more than ``max_layer_chars`` bytes is reported as ``oversized``, and inflated, scanned and
+unwrapped in pieces of that many bytes that overlap by ``OVERLAP``, so memory stays bounded. All its spans are those of the whole
+blob; what is longer than the overlap and crosses from piece to piece is seen in parts. Kinds of spans in layers are written
 ``kind@layer+layer``. Bytes are read as UTF-8, with replacement of what is not, and as UTF-16 if a mark or zero bytes say so; they
 are left out only if they have no run of 12 ASCII characters, as no rule matches less. A layer's span is left out if the same kind already has that very span.
 
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 KINDS = ("assign", "access", "hex", "oversized", "truncated")
-MAX_LAYER_CHARS = 16 << 20
+MAX_LAYER_CHARS, OVERLAP, LARGE = 16 << 20, 1 << 16, 1 << 20
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long"
 
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -82,6 +83,37 @@ def _engine(raw: bytes):
     return None
 
 
+class _All:
+    """Maps every position to the same one."""
+
+    __slots__ = ("at",)
+
+    def __init__(self, at: int):
+        self.at = at
+
+    def __getitem__(self, k: int) -> int:
+        return self.at
+
+
+def _in_pieces(raw: bytes, size: int):
+    """What a stream of compressed bytes inflates to, all members of its kind, in overlapping pieces of `size` bytes."""
+    kind, found, tail = None, _engine(raw), b""
+    while found is not None and kind in (None, found[0]):
+        kind, engine = found
+        while not engine.eof:
+            try:
+                data = engine.decompress(raw, size)
+            except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+                return
+            raw = engine.unconsumed_tail if hasattr(engine, "unconsumed_tail") else b""
+            if not data and not engine.eof:
+                return
+            yield tail + data
+            tail = (tail + data)[-OVERLAP:]
+        raw = engine.unused_data.lstrip(b"\0")
+        found = _engine(raw)
+
+
 def _inflate(raw: bytes, limit: int) -> tuple[str, bytes, str | None, bytes] | None:
     """(layer, data, mark, what follows) of compressed bytes, all members of one kind; the mark says why data isn't
     all of it; None if they aren't compressed."""
@@ -118,6 +150,10 @@ def _unwrapped(raw: bytes, name: str, limit: int):
         kind, data, mark, rest = inner
         if mark:
             yield f"{name}+{kind}", b"", mark
+        if mark == "oversized":
+            for piece in _in_pieces(raw, limit):
+                yield f"{name}+{kind}", piece, None
+            continue
         work += [x for x in ((data, f"{name}+{kind}"), (rest, name)) if x[0]]
 
 
@@ -128,16 +164,13 @@ def _streams(line: str, at: int, pattern: re.Pattern, decode, name: str, limit:
     for m in _MAGIC.finditer(raw):
         if m.start() < done or (inner := _inflate(raw[m.start() :], limit)) is None:
             continue
-        kind, data, mark, rest = inner
-        done = len(raw) - len(rest)
+        done = len(raw) - len(inner[3])
         begin, end = starts[m.start()], ends[done - 1]
-        if mark:
-            yield f"{mark}@{name}+{kind}", None, [begin], [end]
-        for names, part, why in _unwrapped(data, f"{name}+{kind}", limit) if data else ():
+        for names, part, why in _unwrapped(raw[m.start() : done], name, limit):
             if why:
-                yield f"{why}@{names}", None, [begin], [end]
+                yield f"{why}@{names}", None, _All(begin), _All(end)
             for plain in _readable(part):
-                yield names, plain, [begin] * len(plain), [end] * len(plain)
+                yield names, plain, _All(begin), _All(end)
 
 
 def _readable(data: bytes) -> list[str]:
@@ -240,19 +273,19 @@ def layers(text: str, limit: int = MAX_LAYER_CHARS):
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
         except (binascii.Error, ValueError):
             continue
-        found = list(_unwrapped(raw, "base64", limit))
-        if len(runs) > 1 and all("+" in names and not mark for names, _, mark in found):
-            inside.update(s for s, _ in runs)
-        for names, part, mark in found:
+        size, whole = len(raw), True
+        for names, part, mark in _unwrapped(raw, "base64", limit):
+            whole = whole and "+" in names and not mark
             if mark:
-                yield f"{mark}@{names}", None, [begin], [end]
-        size = len(raw)
-        for names, plain in [(names, plain) for names, part, _ in found if part for plain in _readable(part)]:
-            if len(found) > 1 or "+" in names or len(plain) != size:  # positions inside are not those of the base64 text
-                yield names, plain, [begin] * len(plain), [end] * len(plain)
-            else:
-                at = [k for s, e in runs for k in range(s, e)] + [end]
-                yield names, plain, [at[k * 4 // 3] for k in range(size)], [min(end, at[min(-(-(k + 1) * 4 // 3), len(at) - 1) - 1] + 1) for k in range(size)]
+                yield f"{mark}@{names}", None, _All(begin), _All(end)
+            for plain in _readable(part) if part else ():
+                if "+" in names or len(plain) != size:  # positions inside are not those of the base64 text
+                    yield names, plain, _All(begin), _All(end)
+                else:
+                    at = [k for s, e in runs for k in range(s, e)] + [end]
+                    yield names, plain, [at[k * 4 // 3] for k in range(size)], [min(end, at[min(-(-(k + 1) * 4 // 3), len(at) - 1) - 1] + 1) for k in range(size)]
+        if len(runs) > 1 and whole:
+            inside.update(s for s, _ in runs)
 
 
 def scan(text: str | None, limit: int = MAX_LAYER_CHARS) -> tuple[list, list, int]:
@@ -261,31 +294,44 @@ def scan(text: str | None, limit: int = MAX_LAYER_CHARS) -> tuple[list, list, in
     rank = {k: i for i, k in enumerate(KINDS)}
     order = lambda x: (x[1], rank[x[0].partition("@")[0]], x[2], x[0])
     base = sorted(base_spans(text), key=order)
-    every, have = list(base), set(base)
-    work = deque([(text, None, None, "")])
-    seen, n = set(), 0
-    while work:
-        above, up_start, up_end, path = work.popleft()
+    every, have, marks = list(base), set(base), set()
+    work, seen, n = deque([(text, None, None, "")]), set(), 0
+
+    def unwrap(above: str, up_start, up_end, path: str) -> None:
+        nonlocal n
         for name, new, starts, ends in layers(above, limit):
-            if up_start is not None:
+            if isinstance(up_start, _All):
+                starts, ends = up_start, up_end
+            elif up_start is not None and isinstance(starts, _All):
+                starts, ends = _All(up_start[starts.at]), _All(up_end[ends.at - 1])
+            elif up_start is not None:
                 starts, ends = [up_start[k] for k in starts], [up_end[k - 1] for k in ends]
             if new is None:
                 mark, _, name = name.partition("@")
             trail = f"{path}+{name}" if path else name
             if new is None:
-                if (found := (f"{mark}@{trail}", starts[0], ends[0])) not in every:
+                if (found := (f"{mark}@{trail}", starts[0], ends[0])) not in marks:
+                    marks.add(found)
                     every.append(found)
                 continue
+            if not new:
+                continue
             key = (hashlib.sha1(new.encode("utf-8", "surrogatepass")).digest(), starts[0], ends[-1])
             if key in seen:
                 continue
             seen.add(key)
             n += 1
             for kind, s, e in base_spans(new):
-                if (mark := (kind, starts[s], ends[e - 1])) not in have:
-                    have.add(mark)
-                    every.append((f"{kind}@{trail}", *mark[1:]))
-            work.append((new, starts, ends, trail))
+                if (span := (kind, starts[s], ends[e - 1])) not in have:
+                    have.add(span)
+                    every.append((f"{kind}@{trail}", *span[1:]))
+            if len(new) >= LARGE:  # at once, so that not all pieces of a stream wait
+                unwrap(new, starts, ends, trail)
+            else:
+                work.append((new, starts, ends, trail))
+
+    while work:
+        unwrap(*work.popleft())
     return base, sorted(every, key=order), n
 
 
