@@ -66,7 +66,8 @@ UNION ALL SELECT k, CASE WHEN k % 5 < 2 THEN 1 ELSE 0 END, '+|' || {_TEXT("k")}
 
 def decoded(spark: SparkSession, sf_dir: str, make: Callable, relation_name: str = "message", columns=None, keep=None) -> DataFrame:
     """A dump for each event, make(k, u) or a pair of its name's ending and its bytes, as rows of a relation with msg_id."""
-    events = relation.read(spark, sf_dir, "events").select("event_id", "user_id")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    events = relation.read(spark, sf_dir, "events").select("event_id", "user_id").repartition(tasks)  # few bytes, but much work for each
 
     def run(batches):
         for b in batches:
