@@ -14,8 +14,6 @@ from __future__ import annotations
 import os
 import shlex
 import sys
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +22,7 @@ from pyspark.sql import functions as F
 from .functions import names
 from .operators import legacy, lines, peers
 from .plans import expr, lower, parser
-from .sources import mrt
+from .sources import mrt, shared
 
 
 COMMANDS = ("grep", "peers", "legacy")
@@ -67,22 +65,17 @@ def options(args: Sequence[str]) -> tuple[dict[str, str | bool], list[str]]:
 
 
 def _spooled(spark: SparkSession, files: list[str]) -> list[str]:
-    """The files, with standard input copied to one that all executors can read: in spark.checkpoint.dir, or a local session's temporary folder."""
+    """The files, with standard input copied to one that all executors can read: in the shared folder."""
     out, spool = [], None
     for f in files or ["-"]:
         if f == "-":
             if spool is None:
                 sc = spark.sparkContext
-                folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-                if not folder and not sc.master.startswith("local"):
-                    raise ValueError("to read standard input on a cluster, spark.checkpoint.dir must name a shared folder")
-                at = sc._jvm.org.apache.hadoop.fs.Path(f"{folder or tempfile.gettempdir()}/stdin-{uuid.uuid4().hex}.mrt")
-                fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
-                to = fs.create(at)
+                at = sc._jvm.org.apache.hadoop.fs.Path(f"{shared.scratch(spark, 'stdin')}.mrt")
+                to = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at)
                 while piece := sys.stdin.buffer.read(1 << 20):
                     to.write(piece)
                 to.close()
-                fs.deleteOnExit(at)
                 spool = at.toString()
             f = spool
         out.append(f)

@@ -13,9 +13,9 @@ from ..functions import names
 from ..operators import legacy, lines, peers
 from ..sources import encode, mrt
 from ..streaming import dumps
-from . import dump_catalog, lower, relation
+from . import dump_catalog, lower, relation, surface_catalog
 
-QUERIES: dict = dict(dump_catalog.QUERIES)
+QUERIES: dict = dump_catalog.QUERIES | surface_catalog.QUERIES
 ORACLES: dict = dict(dump_catalog.ORACLES)
 FLAGSHIP = "flagship"
 
@@ -245,3 +245,4 @@ def mrt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["mrt_round_trip"] = mrt_round_trip
 ORACLES["mrt_round_trip"] = f"WITH {_ITEMS}, {_ROUTES} SELECT msg_id, {_LINE} AS line FROM t"
+ORACLES |= surface_catalog.oracles(f"{_ITEMS}, {_ROUTES}")

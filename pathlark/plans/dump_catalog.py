@@ -64,8 +64,8 @@ _UPDATES = lambda tail: f"""SELECT k AS msg_id, 0 AS line_no, '-|' || {_TEXT("(k
 UNION ALL SELECT k, CASE WHEN k % 5 < 2 THEN 1 ELSE 0 END, '+|' || {_TEXT("k")} || ' ' || {_TEXT("(k + 1)")} || '|' || {_FIELDS} || '|' || {tail} FROM e WHERE k % 3 > 0"""
 
 
-def decoded(spark: SparkSession, sf_dir: str, make: Callable, relation_name: str = "message", columns=None, keep=None) -> DataFrame:
-    """A dump for each event, make(k, u) or a pair of its name's ending and its bytes, as rows of a relation with msg_id."""
+def dumps(spark: SparkSession, sf_dir: str, make: Callable) -> DataFrame:
+    """(path, content) of a dump for each event: make(k, u) gives its bytes, or a pair of its name's ending and its bytes."""
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     events = relation.read(spark, sf_dir, "events").select("event_id", "user_id").repartition(tasks)  # few bytes, but much work for each
 
@@ -75,8 +75,12 @@ def decoded(spark: SparkSession, sf_dir: str, make: Callable, relation_name: str
             names = [f"{k}.{'mrt' if isinstance(m, bytes) else m[0]}" for k, m in zip(b.column(0).to_pylist(), made)]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([m if isinstance(m, bytes) else m[1] for m in made], pa.binary())], ["path", "content"])
 
-    dumps = events.mapInArrow(run, "path string, content binary")
-    rows = dumps.mapInArrow(mrt.decoder(relation_name, columns, keep), mrt.SCHEMAS[relation_name])
+    return events.mapInArrow(run, "path string, content binary")
+
+
+def decoded(spark: SparkSession, sf_dir: str, make: Callable, relation_name: str = "message", columns=None, keep=None) -> DataFrame:
+    """The dumps of `dumps` as rows of a relation with msg_id, the event."""
+    rows = dumps(spark, sf_dir, make).mapInArrow(mrt.decoder(relation_name, columns, keep), mrt.SCHEMAS[relation_name])
     return rows.withColumn("msg_id", F.substring_index("file", ".", 1).cast("long"))
 
 
