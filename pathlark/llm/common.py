@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch, shared_dir
+
+__all__ = ["scratch", "shared_dir", "cut", "n_words", "portions", "table"]
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,37 +39,6 @@ def portions(batches: Iterable[pa.RecordBatch], column: str = "text", nbytes: in
             yield b.slice(start)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="pathlark-")
-        _on_exit(spark, found)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-        _on_exit(spark, sc.getCheckpointDir())
-    return found
-
-
-def _on_exit(spark: SparkSession, path: str) -> None:
-    """Has a folder deleted when the driver's JVM ends."""
-    sc = spark.sparkContext
-    at = sc._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
-    fs.mkdirs(at)
-    fs.deleteOnExit(at)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder for a table between two steps. It is deleted when the driver ends, as results may read it until then."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _on_exit(spark, path)
-    return f"{path}/table"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the shared folder; survives the loss of any executor."""
     shared_dir(df.sparkSession)
@@ -77,7 +48,3 @@ def cut(df: DataFrame) -> DataFrame:
 def n_words(text: Column) -> Column:
     """Number of words; null counts as the empty text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
