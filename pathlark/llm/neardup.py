@@ -191,7 +191,8 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
-    return edges.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
+    # both ends of each tie, dealt by vertex as the joins to come need them
+    return edges.select(F.explode(F.array("a", "b")).alias("v"), "b").groupBy("v").agg(F.min("b").alias("root"))
 
 
 def _blocks(members: DataFrame, probing: bool, size: int) -> DataFrame:
