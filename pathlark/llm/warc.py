@@ -32,6 +32,8 @@ from pyspark.sql.types import BinaryType
 from . import common
 
 SEGMENT, CHUNK, END = 1 << 20, 1 << 18, "\r\n\r\n"
+#: Payloads that occur more than once meet the pages by broadcast, so that no payload is shuffled, if they are so many at most; they are counted first.
+BROADCAST_DIGESTS = 500_000
 CHUNK_SCHEMA = "record_id string, warc_type string, chunk_no long, chunk_bytes long, sha1 string, bytes_so_far long, last boolean, refers_to string, full_digest string, full_bytes long, chunk binary"
 
 
@@ -47,6 +49,8 @@ def records(pages: DataFrame, segment_bytes: int = SEGMENT, min_revisit_bytes: i
     src = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     src = src.withColumn("digest", base32_sha1(F.col("payload")))
     many = src.where(F.length("payload") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("digest").alias("dup"), "first_id")
+    many = common.cut(many)
+    many = F.broadcast(many) if many.count() <= BROADCAST_DIGESTS else many
     src = src.join(many, (src["digest"] == many["dup"]) & (F.length("payload") >= min_revisit_bytes), "left")
     revisit = F.col("first_id").isNotNull() & F.col("page_id").isNotNull() & (F.col("page_id") != F.col("first_id"))
     src = src.select("page_id", "url", "digest", F.length("payload").cast("long").alias("full"), F.when(revisit, F.col("first_id")).alias("refers"), F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"))
