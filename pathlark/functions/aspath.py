@@ -305,6 +305,69 @@ def table(node, limit: int = MAX_TABLE) -> tuple[list[int], list[int], list[bool
     return asns, [x for row in moves for x in row], ends
 
 
+def anchored_table(node) -> tuple[list[int], list[int], list[bool], list[bool]]:
+    """(ASNs named, moves, whether a state matches, whether it does at the end of the path), for matches that start where
+    the automaton does: in state 0 at the start of the path, in state 1 elsewhere. State 2 is dead."""
+    machine, asns = Machine(node), named(node)
+
+    def closure(now: frozenset, start: bool, end: bool) -> set[int]:
+        seen, work = set(), list(now)
+        while work:
+            k = work.pop()
+            if k not in seen:
+                seen.add(k)
+                kind, value, to = machine.steps[k]
+                if kind == "split" or kind == "edge" and (start if value else end):
+                    work += to
+        return seen
+
+    begin = frozenset([machine.start])
+    queue = [(begin, True), (begin, False), (frozenset(), False)]
+    states = {key: k for k, key in enumerate(queue)}
+    moves, here, ends = [], [], []
+    for now, start in queue:  # grows as it goes
+        seen = closure(now, start, False)
+        here.append(machine.final in seen)
+        ends.append(machine.final in closure(now, start, True))
+        for x in (None, *asns):
+            to = frozenset(machine.steps[k][2][0] for k in seen if machine.steps[k][0] == "one" and (machine.steps[k][1].asn is None or (machine.steps[k][1].asn == x) != machine.steps[k][1].negated))
+            if (to, False) not in states:
+                states[to, False] = len(queue)
+                queue.append((to, False))
+                if len(queue) * (len(asns) + 1) > MAX_TABLE:
+                    raise PatternError("a pattern of too many states for spans")
+            moves.append(states[to, False])
+    return asns, moves, here, ends
+
+
+def span(as_path: Column, pattern: str) -> Column:
+    """struct<start:int,length:int> of the leftmost match, the longest of those there; null if there is none. Built-ins only;
+    the time is the square of a path at worst."""
+    asns, moves, here, ends = anchored_table(parse(pattern))
+    width, n = len(asns) + 1, F.size(as_path)
+    place = (lambda x: F.array_position(_numbers(asns), x)) if asns else (lambda x: F.lit(0))
+    flag = lambda values, state: F.get(_numbers(values), state.cast("int")) == 1
+    state = lambda number, at, best: F.struct(number.cast("long").alias("state"), at.cast("int").alias("at"), best.cast("int").alias("best"))
+
+    def step(acc: Column, x: Column) -> Column:
+        to = F.get(_numbers(moves), (acc["state"] * width + place(x)).cast("int"))
+        return state(to, acc["at"] + 1, F.when(flag(here, to), acc["at"] + 1).otherwise(acc["best"]))
+
+    def longest(start: Column) -> Column:
+        first = F.when(start == 0, 0).otherwise(1)
+        empty = F.when(flag(here, first), 0).otherwise(-1)
+        size = F.aggregate(F.slice(as_path, start + 1, F.greatest(n, F.lit(1))), state(first, F.lit(0), empty), step, lambda acc: F.when(flag(ends, acc["state"]), acc["at"]).otherwise(acc["best"]))
+        return F.struct(start.alias("start"), size.alias("length"))
+
+    return F.get(F.filter(F.transform(F.sequence(F.lit(0), n), longest), lambda m: m["length"] >= 0), 0)
+
+
+def captured(as_path: Column, pattern: str) -> Column:
+    """The ASNs of `span`, null if the path doesn't match."""
+    found = span(as_path, pattern)
+    return F.when(found.isNotNull(), F.slice(as_path, found["start"] + 1, found["length"]))
+
+
 def _numbers(values: Sequence[int]) -> Column:
     """An array literal of longs, from one string that is folded when the query is planned."""
     return F.split(F.lit(",".join(str(int(v)) for v in values)), ",").cast("array<bigint>")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import names
+from ..functions import aspath, names
 from ..operators import legacy, lines, peers
 from ..sources import encode, mrt
 from ..streaming import dumps
@@ -78,6 +78,19 @@ _predicate("aspath_all", "-aspath '.*'", "true")
 _predicate("loops", "-loops", _LOOP)
 _predicate("bogon_asn", "-bogon-asn", _BOGON)
 
+
+
+def aspath_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where paths match first, and what they match there."""
+    df = relation.routes(spark, sf_dir)
+    found = aspath.span(F.col("as_path"), "(101|103)+ 105?")
+    return df.select(F.col("rec_no").alias("msg_id"), found.alias("at"), "as_path").where("at IS NOT NULL").select("msg_id", "at.start", "at.length", F.array_join(F.slice("as_path", F.col("at.start") + 1, F.col("at.length")).cast("array<string>"), ",").alias("matched"))
+
+
+QUERIES["aspath_spans"] = aspath_spans
+ORACLES["aspath_spans"] = f"""WITH {_ITEMS}, {_ROUTES}, m AS (SELECT msg_id, regexp_extract(txt, '^(.*?),(?:(?:101|103),)+', 1) AS before, regexp_extract(txt, ',((?:(?:101|103),)+(?:105,)?)', 1) AS matched FROM t WHERE regexp_matches(txt, ',(?:101|103),'))
+SELECT msg_id, (length(before) - length(replace(before, ',', '')))::INT AS start, (length(matched) - length(replace(matched, ',', '')))::INT AS length, rtrim(matched, ',') AS matched FROM m"""
+
 # -- peers
 _predicate("peer_asn", "-peer 64407", "peer_asn = 64407", paths=False)
 _predicate("peer_addr", "-peer ( 10.0.0.7 10.0.0.9 )", "peer_addr IN ('10.0.0.7', '10.0.0.9')", paths=False)

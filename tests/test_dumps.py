@@ -75,6 +75,42 @@ def test_very_long_paths(spark):
         assert {r.name for r in df.where(aspath.matches(df.as_path, pattern)).collect()} == want, pattern
 
 
+def test_spans(spark):
+    """The leftmost match and the longest there, against all ways to match."""
+    paths = [[], [1], [1, 2], [3, 1, 2, 1, 2, 9], [1, 1, 1], [2, 1, 3], [5, 1, 2, 3, 4]]
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(paths)] + [(99, None)], "k int, p array<bigint>")
+    for pattern in ("1 2|1", "1|1 2", "(1 2)+", "^1", "1*", "2$", "^$", ". 2 .", "1 (2|2 3|2 3 4)", "!1 1"):
+        bare = aspath.parse(pattern)
+        got = {r.k: r.s for r in df.select("k", aspath.span(df.p, pattern).alias("s")).collect()}
+        assert got[99] is None
+        for k, p in enumerate(paths):
+            want = None
+            for start in range(len(p) + 1):
+                sizes = [n for n in range(len(p) - start + 1) if whole(bare, p, start, n)]
+                if sizes:
+                    want = (start, max(sizes))
+                    break
+            assert (got[k] and tuple(got[k])) == want, (pattern, p)
+    assert df.select(aspath.captured(df.p, "1 2").alias("c")).collect()[3].c == [1, 2]
+
+
+def whole(node, path, start, size):
+    """Whether a node can match exactly path[start : start + size]."""
+    if isinstance(node, aspath.One):
+        return size == 1 and (node.asn is None or (path[start] == node.asn) != node.negated)
+    if isinstance(node, aspath.Edge):
+        return size == 0 and start == (0 if node.start else len(path))
+    if isinstance(node, aspath.Alt):
+        return any(whole(p, path, start, size) for p in node.parts)
+    if isinstance(node, aspath.Rep):
+        if size == 0:
+            return node.op != "+" or whole(node.part, path, start, 0)
+        return any(whole(node.part, path, start, n) and (n == size or node.op != "?" and whole(aspath.Rep(node.part, "*"), path, start + n, size - n)) for n in range(1, size + 1))
+    if not node.parts:
+        return size == 0
+    return any(whole(node.parts[0], path, start, n) and whole(aspath.Cat(node.parts[1:]), path, start + n, size - n) for n in range(size + 1))
+
+
 def codes(data, name="x"):
     return [(r["level"], r["code"]) for r in mrt.from_bytes(data, name, "error_log")]
 
