@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import scratch, shared_dir
 
-__all__ = ["scratch", "shared_dir", "cut", "n_words", "portions", "table"]
+__all__ = ["scratch", "shared_dir", "cut", "n_words", "portions", "small_batches", "table"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,10 +40,23 @@ def portions(batches: Iterable[pa.RecordBatch], column: str = "text", nbytes: in
             yield b.slice(start)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Arrow batches of few bytes for what is run within; the session's own setting is there again afterwards."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the shared folder; survives the loss of any executor."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with small_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def n_words(text: Column) -> Column:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SEQ, END, SHARD_TOKENS, K1, B, POWER, PORTION = 2048, 1, 1 << 20, 1.2, 0.75, 3.0, 1 << 22
+SEQ, END, SHARD_TOKENS, K1, B, POWER, PORTION = 2048, 1, 1 << 20, 1.2, 0.75, 3.0, 1 << 21
 TOKENIZER = "word_bpe_49k.json"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NEVER = (1 << 31) - 1
@@ -70,7 +70,7 @@ class WordTokens:
     merged once and remembered, up to ``cache_pieces`` of them.
     """
 
-    def __init__(self, path: str, cache_pieces: int = 400_000):
+    def __init__(self, path: str, cache_pieces: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -221,7 +221,8 @@ class WordTokens:
         size, begin = np.ones(len(inner), np.int64), np.zeros(len(inner), np.int64)
         size[inner], begin[inner] = self.size[rows], self.start[rows]
         stop = np.cumsum(size)
-        at = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(begin - (stop - size), size)
+        begin -= stop - size
+        at = np.arange(int(stop[-1]) if len(stop) else 0, dtype=np.int32) + np.repeat(begin.astype(np.int32), size)
         flat = self.ids[np.minimum(at, len(self.ids) - 1)] if len(self.ids) else np.zeros(len(at), np.int32)
         stop = stop[closing]
         flat[stop - 1] = END
@@ -304,7 +305,7 @@ def _pieces(raw: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     body = low[solid]
     offsets = np.append(np.flatnonzero(first[solid]), len(body)).astype(np.int32)
     found = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(body)])
-    upto = np.concatenate([[0], np.cumsum(first, dtype=np.int64)])[ends]
+    upto = np.concatenate([np.zeros(1, np.int32), np.cumsum(first, dtype=np.int32)])[ends]
     return found, np.diff(upto, prepend=0)
 
 
@@ -431,7 +432,7 @@ def _tokenized(documents: DataFrame, path: str, seq: int) -> DataFrame:
             for k in np.flatnonzero(full):
                 crcs[k] = zlib.crc32(words[begin[k] : begin[k] + seq])
             keys, size = np.zeros(len(doc), np.int32), np.where(full, 0, length)
-            part = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            part = np.repeat((begin - (np.cumsum(size) - size)).astype(np.int32), size) + np.arange(int(size.sum()), dtype=np.int32)
             left = flat[part]
             if len(left):
                 keys[~full] = np.minimum.reduceat(rank[left], (np.cumsum(size) - size)[~full])
@@ -450,7 +451,8 @@ def pack(documents: DataFrame, path: str | None = None, seq: int = SEQ, shard_to
     spark = documents.sparkSession
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     made = common.scratch(spark, "pieces")
-    _tokenized(documents, path, seq).write.parquet(made)
+    with common.small_batches(spark):
+        _tokenized(documents, path, seq).write.parquet(made)
     pieces = spark.read.parquet(made)
 
     def place(batches):
