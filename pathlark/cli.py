@@ -1,8 +1,8 @@
 """The command line.
 
-    grep [-o FILE] [--explain] FILES... [EXPRESSION]   messages that pass, as lines
-    peers [-r] [-o FILE] FILES...                      peer tables; -r: only the peers referred to
-    legacy OPTIONS FILES...                            the older option set; with PRETEND set, says what it would run
+    grep [-o FILE] [--explain] [--colour] FILES... [EXPRESSION]   messages that pass, as lines
+    peers [-r] [-o FILE] FILES...                                 peer tables; -r: only the peers referred to
+    legacy OPTIONS FILES...                                       the older option set; with PRETEND set, says what it would run
 
 Options: -o, --output FILE; -r, --only-refs; --explain; -h, --help. -- ends them, and values may follow =. FILES may be - for
 uncompressed standard input, which is also read without FILES; a file that is given twice is read twice. What is
@@ -27,7 +27,7 @@ from .sources import mrt, shared
 
 COMMANDS = ("grep", "peers", "legacy")
 #: Options to (name, whether they take a value).
-OPTIONS = {"-o": ("output", True), "--output": ("output", True), "-r": ("refs", False), "--only-refs": ("refs", False), "--explain": ("explain", False)}
+OPTIONS = {"-o": ("output", True), "--output": ("output", True), "-r": ("refs", False), "--only-refs": ("refs", False), "--explain": ("explain", False), "--colour": ("colour", False)}
 
 
 def split_arguments(args: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -82,10 +82,10 @@ def _spooled(spark: SparkSession, files: list[str]) -> list[str]:
     return out
 
 
-def filtered_lines(spark: SparkSession, files: Sequence[str], expression: Sequence[str] | str = ()) -> DataFrame:
+def filtered_lines(spark: SparkSession, files: Sequence[str], expression: Sequence[str] | str = (), colour: bool = False) -> DataFrame:
     """Lines of the messages that pass, and of all state changes, in file and record order."""
     keep = ("file", "rec_no", "entry_no")
-    passed = lines.message_lines(lower.scan(spark, files, expression, lines.READS), keep)
+    passed = lines.message_lines(lower.scan(spark, files, expression, lines.READS), keep, colour)
     states = mrt.read(spark, files, "state_change").withColumn("entry_no", F.lit(0))
     both = mrt.by_argument(passed.unionByName(lines.state_lines(states, keep)), files)
     return both.orderBy("file_no", *keep, "line_no")
@@ -139,6 +139,6 @@ def main(argv: Sequence[str], spark: SparkSession | None = None) -> int:
         rows = mrt.by_argument(peers.listing(table, mrt.read(spark, files, "peer_ref") if found.get("refs") else None), files)
         rows = rows.orderBy("file_no", "file", "table_no", "peer_idx").select("line")
     else:
-        rows = filtered_lines(spark, files, expression).select("line")
+        rows = filtered_lines(spark, files, expression, bool(found.get("colour"))).select("line")
     _emit(rows.toLocalIterator(), found.get("output"))
     return int(_errors(spark, files) > 0)

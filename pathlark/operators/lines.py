@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import names
 
 RIB_KINDS, CORRUPT = ("TABLE_DUMP", "TABLE_DUMPV2"), "~CORRUPTED~"
+#: In inverse video.
+COLOURED = "~\x1b[7mCORRUPTED\x1b[27m~"
 #: The columns from path attributes that lines show.
 READS = {"as_path_segs", "origin", "aggregator", "communities", "large_communities"}
 
@@ -66,8 +68,8 @@ def _by_path_id(prefixes: Column) -> Column:
     return F.transform(ids, lambda i: F.struct(i.alias("path_id"), texts(i).alias("text")))
 
 
-def message_lines(messages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """line (and the columns `keep`), in the order of each message's lines in line_no."""
+def message_lines(messages: DataFrame, keep: tuple[str, ...] = (), colour: bool = False) -> DataFrame:
+    """line (and the columns `keep`), in the order of each message's lines in line_no. colour: the mark of bad values stands out on terminals."""
     update = F.col("msg_type") == names.UPDATE
     rib = F.col("kind").isin(*RIB_KINDS)
     side = lambda mark, c: F.transform(_by_path_id(F.coalesce(F.col(c), F.array().cast(messages.schema[c].dataType))), lambda x: F.struct(mark.alias("mark"), x["text"].alias("text"), x["path_id"].alias("id")))
@@ -79,7 +81,7 @@ def message_lines(messages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     rows = messages.select("*", F.posexplode(F.when(update, routes).otherwise(other)).alias("line_no", "_line"))
     attrs = [F.when(update, c).otherwise("") for c in attribute_fields()]
     line = F.concat_ws("|", F.col("_line.mark"), F.col("_line.text"), *attrs, *_tail(F.col("_line.id")))
-    line = F.concat(line, F.when(F.col("error").isNotNull(), CORRUPT).otherwise("")) if "error" in messages.columns else line
+    line = F.concat(line, F.when(F.col("error").isNotNull(), COLOURED if colour else CORRUPT).otherwise("")) if "error" in messages.columns else line
     return rows.select(*keep, "line_no", line.alias("line"))
 
 

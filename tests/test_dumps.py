@@ -200,6 +200,7 @@ def test_bad_values_are_kept(spark, tmp_path):
     bad = [X.attr(1, b"\7"), X.path([1, 2]), X.attr(3, b"\1\2"), X.attr(7, b"\0\1"), X.communities((1, 2)), X.attr(32, b"123")]
     (tmp_path / "bad.mrt").write_bytes(X.session(5, X.bgp(2, X.update_body([X.nlri("10.0.0.0/8")], attrs=bad))) + X.session(6, X.bgp(4)))
     assert [r.line for r in cli.filtered_lines(spark, [str(tmp_path / "bad.mrt")]).collect()] == ["+|10.0.0.0/8|1 2||||||10.0.0.2 65001|5|1~CORRUPTED~".replace("||||||", "|||||1:2|"), "@||||||||10.0.0.2 65001|6|1"]
+    assert cli.filtered_lines(spark, [str(tmp_path / "bad.mrt")], "-type UPDATE", True).first().line.endswith("|1~\x1b[7mCORRUPTED\x1b[27m~")
     assert codes((tmp_path / "bad.mrt").read_bytes()) == [("warning", "BAD_ORIGIN")]
     assert mrt.from_bytes((tmp_path / "bad.mrt").read_bytes())[0]["error"] == "BAD_ORIGIN"
 
