@@ -279,3 +279,11 @@ def test_command_line(spark, folder, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr("sys.stdin", type("In", (), {"buffer": __import__("io").BytesIO(DATA)})())
     assert cli.main(["grep", "-", "-type", "OPEN"], spark) == 0 and capsys.readouterr().out.splitlines() == [LINES[4], LINES[5]]
     assert cli.split_arguments(["a", "-", "!", "-loops"]) == (["a", "-"], ["!", "-loops"])
+
+
+def test_small_files_share_batches(spark):
+    import pyarrow as pa
+
+    small = pa.RecordBatch.from_pydict({"path": [f"{k}.bgp" for k in range(500)], "content": [X.bgp(4) + b"junk"] * 500})
+    got = [b.num_rows for b in mrt.message_decoder()(iter([small, small]))]
+    assert sum(got) == 2000 and len(got) <= 3
