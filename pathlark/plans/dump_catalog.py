@@ -25,7 +25,7 @@ ORACLES: dict = {}
 
 
 def _dot(n: int) -> str:
-    return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+    return f"{n >> 24 & 255}.{n >> 16 & 255}.{n >> 8 & 255}.{n & 255}"
 
 
 def _net(x: int) -> str:
@@ -64,33 +64,53 @@ _UPDATES = lambda tail: f"""SELECT k AS msg_id, 0 AS line_no, '-|' || {_TEXT("(k
 UNION ALL SELECT k, CASE WHEN k % 5 < 2 THEN 1 ELSE 0 END, '+|' || {_TEXT("k")} || ' ' || {_TEXT("(k + 1)")} || '|' || {_FIELDS} || '|' || {tail} FROM e WHERE k % 3 > 0"""
 
 
-def dumps(spark: SparkSession, sf_dir: str, make: Callable) -> DataFrame:
-    """(path, content) of a dump for each event: make(k, u) gives its bytes, or a pair of its name's ending and its bytes."""
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    events = relation.read(spark, sf_dir, "events").select("event_id", "user_id").repartition(tasks)  # few bytes, but much work for each
+#: So many dumps are held at once.
+HELD = 512
+
+
+def dumps(make: Callable):
+    """A function for mapInArrow over (k, u) rows that yields (path, content) of a dump for each: make(k, u) gives its bytes, or a pair of its name's ending and its bytes."""
 
     def run(batches):
         for b in batches:
-            made = [make(k, u) for k, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            names = [f"{k}.{'mrt' if isinstance(m, bytes) else m[0]}" for k, m in zip(b.column(0).to_pylist(), made)]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([m if isinstance(m, bytes) else m[1] for m in made], pa.binary())], ["path", "content"])
+            for at in range(0, b.num_rows, HELD):
+                ks, us = (b.column(c).slice(at, HELD).to_pylist() for c in (0, 1))
+                made = [m if isinstance(m, tuple) else ("mrt", m) for m in map(make, ks, us)]
+                yield pa.RecordBatch.from_arrays([pa.array([f"{k}.{m[0]}" for k, m in zip(ks, made)], pa.string()), pa.array([m[1] for m in made], pa.binary())], ["path", "content"])
+
+    return run
+
+
+def parts(spark: SparkSession) -> int:
+    """Tasks for rows of few bytes but much work for each."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    return events.mapInArrow(run, "path string, content binary")
 
+def through(spark: SparkSession, sf_dir: str, make: Callable, decode: Callable, schema) -> DataFrame:
+    """The rows that decode (a function over (path, content)) makes of a dump for each event, with msg_id, the event.
 
-def decoded(spark: SparkSession, sf_dir: str, make: Callable, relation_name: str = "message", columns=None, keep=None) -> DataFrame:
-    """The dumps of `dumps` as rows of a relation with msg_id, the event."""
-    rows = dumps(spark, sf_dir, make).mapInArrow(mrt.decoder(relation_name, columns, keep), mrt.SCHEMAS[relation_name])
+    Dumps are made and decoded by the same worker: they don't pass through the JVM, and a task has one worker, not two.
+    """
+    made = dumps(make)
+    events = relation.read(spark, sf_dir, "events").select("event_id", "user_id").repartition(parts(spark))
+    rows = events.mapInArrow(lambda batches: decode(made(batches)), schema)
     return rows.withColumn("msg_id", F.substring_index("file", ".", 1).cast("long"))
 
 
+def decoded(spark: SparkSession, sf_dir: str, make: Callable, relation_name: str = "message", columns=None, keep=None, fields=None) -> DataFrame:
+    """A dump for each event as rows of a relation, or some of its columns (`fields`), with msg_id, the event."""
+    fields = None if fields is None else {"file", *fields}
+    return through(spark, sf_dir, make, mrt.decoder(relation_name, columns, keep, fields), mrt.schema_of(relation_name, fields))
+
+
 def _lines(name: str, make: Callable, sql: str) -> None:
-    QUERIES[name] = lambda spark, d: lines.message_lines(decoded(spark, d, make), ("msg_id",))
+    QUERIES[name] = lambda spark, d: lines.message_lines(decoded(spark, d, make, fields=lines.FIELDS), ("msg_id",))
     ORACLES[name] = f"WITH {_EVENTS} {sql}"
 
 
-def _select(name: str, make: Callable, sql: str, *columns, of: str = "message") -> None:
-    QUERIES[name] = lambda spark, d: decoded(spark, d, make, of).select("msg_id", *[c() if callable(c) else c for c in columns])
+def _select(name: str, make: Callable, sql: str, *columns, of: str = "message", fields=None, decode=None) -> None:
+    """fields: what the columns are made of, decode: those attributes among it; all by default."""
+    QUERIES[name] = lambda spark, d: decoded(spark, d, make, of, decode, fields=fields).select("msg_id", *[c() if callable(c) else c for c in columns])
     ORACLES[name] = f"WITH {_EVENTS} {sql}"
 
 
@@ -150,7 +170,7 @@ def _open_or_notification(k: int, u: int) -> bytes:
     return X.session(k, inner, _peer(u), 64400 + u % 200)
 
 
-_select("decode_open_notification", _open_or_notification, "SELECT k AS msg_id, CASE WHEN k % 2 = 1 THEN '2 64 ' || (69 + k % 3) END AS caps, CASE WHEN k % 2 = 0 THEN (k % 6 + 1)::INT END AS notify_code, CASE WHEN k % 2 = 0 THEN (k % 11)::INT END AS notify_subcode FROM e", lambda: F.array_join(F.col("capabilities").cast("array<string>"), " ").alias("caps"), "notify_code", "notify_subcode")
+_select("decode_open_notification", _open_or_notification, "SELECT k AS msg_id, CASE WHEN k % 2 = 1 THEN '2 64 ' || (69 + k % 3) END AS caps, CASE WHEN k % 2 = 0 THEN (k % 6 + 1)::INT END AS notify_code, CASE WHEN k % 2 = 0 THEN (k % 11)::INT END AS notify_subcode FROM e", lambda: F.array_join(F.col("capabilities").cast("array<string>"), " ").alias("caps"), "notify_code", "notify_subcode", fields={"capabilities", "notify_code", "notify_subcode"}, decode=())
 
 
 def _as4(k: int, u: int) -> bytes:
@@ -185,7 +205,7 @@ def _rib_addpath(k: int, u: int) -> bytes:
     return X.peer_table([(_peer(u), 64400 + u % 200)]) + X.rib(_net(k), entries, sub=8 if k % 2 else 12)
 
 
-QUERIES["decode_rib_addpath"] = lambda spark, d: lines.message_lines(decoded(spark, d, _rib_addpath), ("msg_id", "entry_no")).drop("line_no")
+QUERIES["decode_rib_addpath"] = lambda spark, d: lines.message_lines(decoded(spark, d, _rib_addpath, fields={"entry_no", *lines.FIELDS}), ("msg_id", "entry_no")).drop("line_no")
 ORACLES["decode_rib_addpath"] = f"WITH {_EVENTS} SELECT k AS msg_id, 0 AS entry_no, '=|' || {_TEXT('k')} || '|' || (100 + u % 9) || '||||||' || peer || ' ' || asn || ' ' || k % 5 || '|' || k || '|1' AS line FROM e UNION ALL SELECT k, 1, '=|' || {_TEXT('k')} || '|' || (100 + k % 9) || '||||||' || peer || ' ' || asn || ' ' || (k % 5 + 1) || '|' || (k + 1) || '|1' FROM e"
 
 
@@ -195,19 +215,23 @@ def _two_tables(k: int, u: int) -> bytes:
     return X.peer_table([(_peer(u), 64400 + u % 200), (f"2001:db8::{k % 9 + 1}", 70000)]) + rib + X.peer_table([(_peer(k), 1 + k % 9)]) + rib
 
 
-QUERIES["decode_peer_tables"] = lambda spark, d: peers.listing(decoded(spark, d, _two_tables, "peer_index")).select("msg_id", "table_no", "peer_idx", "line")
+QUERIES["decode_peer_tables"] = lambda spark, d: peers.listing(decoded(spark, d, _two_tables, "peer_index", fields={"table_no", "peer_idx", "addr", "asn", "asn32"})).select("msg_id", "table_no", "peer_idx", "line")
 ORACLES["decode_peer_tables"] = f"WITH {_EVENTS} SELECT k AS msg_id, 0 AS table_no, 0 AS peer_idx, peer || ' ' || asn || '|0' AS line FROM e UNION ALL SELECT k, 0, 1, '2001:db8::' || (k % 9 + 1) || ' 70000|1' FROM e UNION ALL SELECT k, 1, 0, {_PEER('k')} || ' ' || (1 + k % 9) || '|0' FROM e"
 _select("decode_peer_refs", _two_tables, "SELECT k AS msg_id, unnest([0, 1]) AS table_no, 0 AS peer_idx FROM e", "table_no", "peer_idx", of="peer_ref")
-_select("decode_latest_table", _two_tables, f"SELECT k AS msg_id, 1 AS rec_no, asn AS peer_asn, peer AS peer_addr FROM e UNION ALL SELECT k, 3, 1 + k % 9, {_PEER('k')} FROM e", lambda: F.col("rec_no").cast("int").alias("rec_no"), "peer_asn", "peer_addr")
+_select("decode_latest_table", _two_tables, f"SELECT k AS msg_id, 1 AS rec_no, asn AS peer_asn, peer AS peer_addr FROM e UNION ALL SELECT k, 3, 1 + k % 9, {_PEER('k')} FROM e", lambda: F.col("rec_no").cast("int").alias("rec_no"), "peer_asn", "peer_addr", fields={"rec_no", "peer_asn", "peer_addr"}, decode=())
 
 
 # -- compression, and what is malformed
+#: A dictionary no larger than the data needs: that of a preset takes ten times as long to set up as such a dump to pack.
+_XZ = [{"id": lzma.FILTER_LZMA2, "preset": 0, "dict_size": 4096}]
+
+
 def _packed(k: int, u: int) -> tuple[str, bytes]:
     data = b"".join(X.session(k + j, X.bgp(4), _peer(u), 64400 + u % 200) for j in range(k % 4 + 1))
-    return (("mrt", data), ("GZ", gzip.compress(data[:40], 1) + gzip.compress(data[40:], 1)), ("bz2", bz2.compress(data, 1)), ("xz", lzma.compress(data, preset=0)))[k % 4]
+    return (("mrt", data), ("GZ", gzip.compress(data[:40], 1) + gzip.compress(data[40:], 1)), ("bz2", bz2.compress(data, 1)), ("xz", lzma.compress(data, filters=_XZ)))[k % 4]
 
 
-QUERIES["decode_compressed"] = lambda spark, d: decoded(spark, d, _packed).groupBy("msg_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts_secs").alias("last_secs"))
+QUERIES["decode_compressed"] = lambda spark, d: decoded(spark, d, _packed, columns=(), fields={"ts_secs"}).groupBy("msg_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts_secs").alias("last_secs"))
 ORACLES["decode_compressed"] = f"WITH {_EVENTS} SELECT k AS msg_id, k % 4 + 1 AS n, k + k % 4 AS last_secs FROM e"
 
 #: Malformed dumps: level, code, bytes.

@@ -36,8 +36,9 @@ def _stream(k: int, u: int) -> bytes:
 
 def bare_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams of BGP messages without records around them; what is cut off at the end is a row with its error."""
-    rows = D.dumps(spark, sf_dir, _stream).mapInArrow(mrt.message_decoder(), mrt.SCHEMAS["message"])
-    return rows.select(F.substring_index("file", ".", 1).cast("long").alias("msg_id"), F.col("rec_no").cast("int").alias("rec_no"), "msg_type", F.element_at("as_path", 1).alias("first_asn"), "error")
+    fields = ("file", "rec_no", "msg_type", "as_path", "error")
+    rows = D.through(spark, sf_dir, _stream, mrt.message_decoder(fields=fields), mrt.schema_of("message", fields))
+    return rows.select("msg_id", F.col("rec_no").cast("int").alias("rec_no"), "msg_type", F.element_at("as_path", 1).alias("first_asn"), "error")
 
 
 QUERIES["bare_messages"] = bare_messages

@@ -287,3 +287,29 @@ def test_small_files_share_batches(spark):
     small = pa.RecordBatch.from_pydict({"path": [f"{k}.bgp" for k in range(500)], "content": [X.bgp(4) + b"junk"] * 500})
     got = [b.num_rows for b in mrt.message_decoder()(iter([small, small]))]
     assert sum(got) == 2000 and len(got) <= 3
+
+
+@pytest.mark.parametrize("name", ["bare_messages", "decode_compressed", "decode_bgp4mp_et", "decode_rib_ipv6", "decode_latest_table", "decode_bgp4mp", "decode_peer_tables", "decode_open_notification", "decode_rib_addpath"])
+def test_made_dumps_take_one_worker_a_task(spark, name):
+    from helpers import SF
+
+    from pathlark.plans import catalog
+
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_packed_dumps_need_little_memory():
+    from pathlark.plans import dump_catalog
+
+    ending, data = dump_catalog._packed(3, 5)
+    assert ending == "xz" and len(lzma.decompress(data, memlimit=150_000)) == 4 * len(X.session(3, X.bgp(4)))
+
+
+def test_only_fields_asked_for(spark):
+    import pyarrow as pa
+
+    dump = pa.RecordBatch.from_pydict({"path": ["a"], "content": [DATA]})
+    whole, some = (pa.Table.from_batches(mrt.decoder("message", fields=f)([dump])) for f in (None, {"rec_no", "announced", "as_path", "error"}))
+    assert some.schema.names == ["rec_no", "announced", "as_path", "error"] and some.to_pylist() == whole.select(some.schema.names).to_pylist()
+    assert mrt.schema_of("message", {"error", "file"}).names == ["file", "error"]
