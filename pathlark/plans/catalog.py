@@ -229,30 +229,52 @@ QUERIES["window_counts"] = window_counts
 ORACLES["window_counts"] = f"WITH {_SESSIONS} SELECT us // 86400000000 * 86400 AS day_start, msg_type, count(*) AS n_messages FROM t GROUP BY ALL"
 
 
-def mrt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every route as an MRT table dump in memory, decoded again and printed."""
+def _route_dump(r: dict) -> bytes:
+    """A peer table and a table entry of a route."""
+    segs = [tuple(asns) if kind == 1 else asns for kind, asns in r["as_path_segs"]]
+    attrs = [encode.attr(1, bytes([r["origin"]])), encode.path(*segs), encode.attr(3, encode.ip_bytes(r["peer_addr"]))]
+    attrs += [encode.attr(6, b"")] if r["atomic"] else []
+    attrs += [encode.attr(7, r["aggregator"][0].to_bytes(4, "big") + encode.ip_bytes(r["aggregator"][1]))] if r["aggregator"] else []
+    attrs += [encode.communities(*[(c >> 16, c & 0xFFFF) for c in r["communities"]])] if r["communities"] else []
+    attrs += [encode.large(*r["large_communities"])] if r["large_communities"] else []
+    return encode.peer_table([(r["peer_addr"], r["peer_asn"])]) + encode.rib(r["net"], [(0, r["ts_secs"], b"".join(attrs))])
+
+
+def _values(c) -> list:
+    """The values of an Arrow column, structs as tuples; for nested ones far faster than to_pylist."""
+    import pyarrow as pa
+
+    if pa.types.is_list(c.type):
+        at = c.offsets.to_pylist()
+        inner = _values(c.values.slice(at[0], at[-1] - at[0])) if at else []
+        out = [inner[a - at[0] : b - at[0]] for a, b in zip(at, at[1:])]
+    elif pa.types.is_struct(c.type):
+        out = list(zip(*[_values(c.field(k)) for k in range(c.type.num_fields)]))
+    elif c.null_count == 0 and pa.types.is_integer(c.type):
+        return c.to_numpy().tolist()
+    else:
+        return c.to_pylist()
+    return [x if ok else None for x, ok in zip(out, c.is_valid().to_pylist())] if c.null_count else out
+
+
+def route_dumps(batches):
+    """(path, content) of a dump for each route, few at a time, as their values take much more memory than their bytes."""
     import pyarrow as pa
 
-    def run(batches):
-        for b in batches:
-            rows = b.to_pylist()
-            out = []
-            for r in rows:
-                segs = [tuple(s["asns"]) if s["type"] == 1 else s["asns"] for s in r["as_path_segs"]]
-                attrs = [encode.attr(1, bytes([r["origin"]])), encode.path(*segs), encode.attr(3, encode.ip_bytes(r["peer_addr"]))]
-                attrs += [encode.attr(6, b"")] if r["atomic"] else []
-                attrs += [encode.attr(7, r["aggregator"]["asn"].to_bytes(4, "big") + encode.ip_bytes(r["aggregator"]["addr"]))] if r["aggregator"] else []
-                attrs += [encode.communities(*[(c >> 16, c & 0xFFFF) for c in r["communities"]])] if r["communities"] else []
-                attrs += [encode.large(*[tuple(x.values()) for x in r["large_communities"]])] if r["large_communities"] else []
-                data = encode.peer_table([(r["peer_addr"], r["peer_asn"])]) + encode.rib(r["net"], [(0, r["ts_secs"], b"".join(attrs))])
-                out += [x | {"rec_no": r["rec_no"]} for x in mrt.from_bytes(data)]
-            yield pa.RecordBatch.from_pylist(out, schema)
-
-    schema = mrt._arrow(mrt.SCHEMAS["message"])
-    src = relation.routes(spark, sf_dir).select("rec_no", "ts_secs", "peer_addr", "peer_asn", "as_path_segs", "origin", "atomic", "aggregator", "communities", "large_communities", F.col("announced")[0]["text"].alias("net"))
+    for b in batches:
+        for at in range(0, b.num_rows, dump_catalog.HELD):
+            held = b.slice(at, dump_catalog.HELD)
+            rows = [dict(zip(held.schema.names, r)) for r in zip(*map(_values, held.columns))]
+            yield pa.RecordBatch.from_arrays([pa.array([str(r["rec_no"]) for r in rows], pa.string()), pa.array(list(map(_route_dump, rows)), pa.binary())], ["path", "content"])
+
+
+def mrt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every route as an MRT table dump in memory, decoded again and printed."""
+    fields = {"file", *lines.FIELDS}
+    decode = mrt.decoder("message", fields=fields)
     # few bytes, but much work for each: not to be left in the one task that their size would make
-    src = src.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    decoded = src.mapInArrow(run, mrt.SCHEMAS["message"]).withColumn("msg_id", F.col("rec_no"))
+    src = relation.routes(spark, sf_dir, parts=dump_catalog.parts(spark)).select("rec_no", "ts_secs", "peer_addr", "peer_asn", "as_path_segs", "origin", "atomic", "aggregator", "communities", "large_communities", F.col("announced")[0]["text"].alias("net"))
+    decoded = src.mapInArrow(lambda batches: decode(route_dumps(batches)), mrt.schema_of("message", fields)).withColumn("msg_id", F.col("file").cast("long"))
     return lines.message_lines(decoded, ("msg_id",)).drop("line_no")
 
 

@@ -34,10 +34,14 @@ def _time(df: DataFrame, ts: Column) -> DataFrame:
     return df.withColumns({"ts_secs": F.floor(micros / 1_000_000).cast("long"), "ts_micros": F.pmod(micros, F.lit(1_000_000)).cast("int")})
 
 
-def routes(spark: SparkSession, sf_dir: str, paths: bool = True) -> DataFrame:
-    """Entries by order; paths=False leaves line items, and so AS paths and communities, out."""
+def routes(spark: SparkSession, sf_dir: str, paths: bool = True, parts: int | None = None) -> DataFrame:
+    """Entries by order; paths=False leaves line items, and so AS paths and communities, out.
+
+    parts: orders are dealt out by key into so many partitions, which stay through the join with line items.
+    """
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     df = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    df = df if parts is None else df.repartition(parts, "o_orderkey")
     if paths:
         supp, part = F.col("l_suppkey"), F.col("l_partkey")
         asn = F.when(supp % 25 == 0, 64500 + supp).when(supp % 41 == 0, 23456).otherwise(100 + supp % 9)

@@ -313,3 +313,19 @@ def test_only_fields_asked_for(spark):
     whole, some = (pa.Table.from_batches(mrt.decoder("message", fields=f)([dump])) for f in (None, {"rec_no", "announced", "as_path", "error"}))
     assert some.schema.names == ["rec_no", "announced", "as_path", "error"] and some.to_pylist() == whole.select(some.schema.names).to_pylist()
     assert mrt.schema_of("message", {"error", "file"}).names == ["file", "error"]
+
+
+def test_route_dumps_come_few_at_a_time(spark):
+    import pyarrow as pa
+
+    from pathlark.plans import catalog, dump_catalog
+
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.list_(pa.int64()))]))
+    c = pa.array([[(1, [2, 3]), (4, [])], [], None, [(5, None)], [(6, [7])]], kind)
+    want = [[(1, [2, 3]), (4, [])], [], None, [(5, None)], [(6, [7])]]
+    assert all(catalog._values(c.slice(a, n)) == want[a : a + n] for a in range(5) for n in range(1, 6 - a)) and catalog._values(c.slice(0, 0)) == []
+    row = {"rec_no": 1, "ts_secs": 5, "peer_addr": "10.0.0.2", "peer_asn": 174, "as_path_segs": [{"type": 2, "asns": [1, 2]}, {"type": 1, "asns": [3]}], "origin": 0, "atomic": True, "aggregator": {"asn": 9, "addr": "10.0.0.9"}, "communities": [65536 + 2], "large_communities": [{"global": 1, "local1": 2, "local2": 3}], "net": "10.0.0.0/8"}
+    types = pa.schema([next((f for f in mrt._arrow(mrt.SCHEMAS["message"]) if f.name == name), pa.field(name, pa.string())) for name in row])
+    made = list(catalog.route_dumps([pa.RecordBatch.from_pylist([row, row | {"aggregator": None}] * 1000, types)]))
+    assert sum(b.num_rows for b in made) == 2000 and max(b.num_rows for b in made) <= dump_catalog.HELD
+    assert [r["aggregator"] for r in mrt.from_bytes(made[0]["content"][0].as_py())] == [{"asn": 9, "addr": "10.0.0.9"}]
