@@ -8,6 +8,7 @@ matching needs string functions only, for both families.
 from __future__ import annotations
 
 import ipaddress
+import socket
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -18,11 +19,16 @@ IPV4, IPV6 = 1, 2
 PREFIX = "struct<afi:int,safi:int,path_id:bigint,len:int,net:binary,key:string,text:string>"
 
 
-@lru_cache(1 << 16)
 def ip_text(raw: bytes) -> str:
     """Text of 4 or 16 bytes. IPv6: the run of zero groups that is longest as written is left out; one group alone stays."""
     if len(raw) == 4:
-        return ".".join(map(str, raw))
+        return socket.inet_ntoa(raw)
+    text = socket.inet_ntop(socket.AF_INET6, raw)
+    return _ipv6_text(raw) if text.startswith(("::", "0:0")) or ":0:0" in text else text  # only these can be written otherwise
+
+
+@lru_cache(1 << 12)
+def _ipv6_text(raw: bytes) -> str:
     if raw[:12] == b"\0" * 10 + b"\xff\xff":
         return "::ffff:" + ".".join(map(str, raw[12:]))
     groups = [int.from_bytes(raw[k : k + 2], "big") for k in range(0, 16, 2)]
@@ -44,7 +50,10 @@ def ip_text(raw: bytes) -> str:
 
 def ip_bytes(text: str) -> bytes:
     """4 or 16 bytes of an address; ValueError if it isn't one."""
-    return ipaddress.ip_address(text).packed
+    try:
+        return socket.inet_pton(socket.AF_INET6 if ":" in text else socket.AF_INET, text)
+    except (OSError, TypeError, ValueError):  # zones, numbers, and what is no address
+        return ipaddress.ip_address(text).packed
 
 
 def masked(raw: bytes, length: int) -> bytes:

@@ -329,3 +329,14 @@ def test_route_dumps_come_few_at_a_time(spark):
     made = list(catalog.route_dumps([pa.RecordBatch.from_pylist([row, row | {"aggregator": None}] * 1000, types)]))
     assert sum(b.num_rows for b in made) == 2000 and max(b.num_rows for b in made) <= dump_catalog.HELD
     assert [r["aggregator"] for r in mrt.from_bytes(made[0]["content"][0].as_py())] == [{"asn": 9, "addr": "10.0.0.9"}]
+
+
+def test_texts_of_addresses():
+    from pathlark.functions import net
+
+    for text in ("::", "::1", "::ffff:10.0.0.1", "::10.0.0.1", "::1:2:3", "1::", "1:0:2::", "0:0:1:2::", "1:2::3:0:0:4", "0:1:2:3:4:5:6:7", "2001:db8:0:1::5", "10.0.0.255"):
+        assert net.ip_bytes(net.ip_text(net.ip_bytes(text))) == net.ip_bytes(text)
+    assert [net.ip_text(net.ip_bytes(x)) for x in ("0:0:0:0:0:0:102:304", "1:0:0:2:0:0:0:0", "0:0:1:0:0:1:1:1", "1:0:2:3:4:5:6:7")] == ["::102:304", "1:0:0:2::", "0:0:1::1:1:1", "1:0:2:3:4:5:6:7"]
+    for bad in ("01.2.3.4", "1.2.3", "1:2", "00001::", "1.2.3.4 ", ""):
+        with pytest.raises(ValueError):
+            net.ip_bytes(bad)
