@@ -20,8 +20,8 @@ RIB_KINDS, CORRUPT = ("TABLE_DUMP", "TABLE_DUMPV2"), "~CORRUPTED~"
 COLOURED = "~\x1b[7mCORRUPTED\x1b[27m~"
 #: The columns from path attributes that lines show.
 READS = {"as_path_segs", "origin", "aggregator", "communities", "large_communities"}
-#: All columns of messages that lines show.
-FIELDS = READS | {"kind", "msg_type", "ts_secs", "ts_micros", "peer_addr", "peer_asn", "asn32", "announced", "withdrawn", "next_hops", "atomic", "capabilities", "error"}
+#: All columns of messages that lines show, of prefixes only the members that they do.
+FIELDS = READS | {"kind", "msg_type", "ts_secs", "ts_micros", "peer_addr", "peer_asn", "asn32", "announced.path_id", "announced.text", "withdrawn.path_id", "withdrawn.text", "next_hops", "atomic", "capabilities", "error"}
 
 
 def _named(code: Column, table: dict[str, int]) -> Column:

@@ -315,6 +315,19 @@ def test_only_fields_asked_for(spark):
     assert mrt.schema_of("message", {"error", "file"}).names == ["file", "error"]
 
 
+def test_only_members_asked_for(spark):
+    import pyarrow as pa
+
+    fields = {"rec_no", "announced.path_id", "announced.text", "aggregator.asn"}
+    dump = pa.RecordBatch.from_pydict({"path": ["a"], "content": [DATA]})
+    whole, some = (pa.Table.from_batches(mrt.decoder("message", fields=f)([dump])).to_pylist() for f in (None, fields))
+    cut = lambda x, names: None if x is None else {n: x[n] for n in names}
+    assert some == [{"rec_no": r["rec_no"], "announced": None if r["announced"] is None else [cut(p, ("path_id", "text")) for p in r["announced"]], "aggregator": cut(r["aggregator"], ("asn",))} for r in whole]
+    assert mrt.schema_of("message", {"announced.text", "announced"})["announced"] == mrt.schema_of("message")["announced"]
+    kinds = mrt.schema_of("message", lines.FIELDS)
+    assert all(kinds[c].dataType.elementType.names == ["path_id", "text"] for c in ("announced", "withdrawn"))
+
+
 def test_route_dumps_come_few_at_a_time(spark):
     import pyarrow as pa
 
