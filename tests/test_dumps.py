@@ -315,6 +315,31 @@ def test_only_fields_asked_for(spark):
     assert mrt.schema_of("message", {"error", "file"}).names == ["file", "error"]
 
 
+def test_rows_of_other_relations_are_not_made(monkeypatch):
+    import io
+
+    data = DATA + X.rib("10.0.0.0/8", [(9, 1, b""), (0, 2, PLAIN)]) + X.zebra(5, 3, b"\0\1\0\2") + X.session(1, b"\0", sub=5) + b"123"
+    every = list(mrt.Dump("x", set(mrt.SCHEMAS)).rows(io.BytesIO(data)))
+    assert {rel for rel, _ in every} == set(mrt.SCHEMAS)
+    for relation in mrt.SCHEMAS:
+        got = list(mrt.Dump("x", {relation}).rows(io.BytesIO(data)))
+        assert [r for rel, r in got if rel == relation] == [r for rel, r in every if rel == relation]
+        assert {rel for rel, _ in got} <= {relation, "error_log"} or relation == "error_log"
+    texts = []
+    whole = mrt.ip_text
+    monkeypatch.setattr(mrt, "ip_text", lambda raw: texts.append(raw) or whole(raw))
+    assert len(mrt.from_bytes(X.peer_table([("10.0.0.2", 1)] * 50) + X.rib("10.0.0.0/8", [(0, 1, PLAIN)]))) == 1 and len(texts) == 1
+
+
+def test_peer_tables_leave_other_records_alone(monkeypatch):
+    def never(*a):
+        raise AssertionError("a record that no peer table needs")
+
+    for name in ("_rib", "_session", "_zebra", "_table"):
+        monkeypatch.setattr(mrt.Dump, name, never)
+    assert [r["addr"] for r in mrt.from_bytes(DATA, relation="peer_index")] == ["10.0.0.2", "2001:db8::1"]
+
+
 def test_only_members_asked_for(spark):
     import pyarrow as pa
 
