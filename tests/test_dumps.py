@@ -299,6 +299,28 @@ def test_made_dumps_take_one_worker_a_task(spark, name):
     assert plan.count("MapInArrow") == 1
 
 
+@pytest.mark.parametrize("make,relation", [("_bgp4mp", "message"), ("_two_tables", "peer_index"), ("_open_or_notification", "message")])
+def test_memory_does_not_grow_with_events(spark, make, relation):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from pathlark.plans import dump_catalog as D
+
+    decode = mrt.decoder(relation, fields={"file", *lines.FIELDS, "addr"})
+    peaks = []
+    for n in (4000, 40000):
+        batch = pa.RecordBatch.from_pydict({"k": range(n), "u": range(n)})
+        before = pa.total_allocated_bytes()
+        tracemalloc.start()
+        held = 0
+        for b in decode(D.dumps(getattr(D, make))([batch])):
+            held = max(held, b.nbytes, pa.total_allocated_bytes() - before)
+        peaks.append((tracemalloc.get_traced_memory()[1], held))
+        tracemalloc.stop()
+    assert peaks[1][0] < 1.3 * peaks[0][0] and peaks[1][1] < 1.3 * peaks[0][1], peaks
+
+
 def test_packed_dumps_need_little_memory():
     from pathlark.plans import dump_catalog
 
