@@ -21,9 +21,7 @@ ignored.
 from __future__ import annotations
 
 import json
-import re
 import zlib
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +31,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SEQ, END, SHARD_TOKENS, K1, B, POWER, PORTION = 2048, 1, 1 << 20, 1.2, 0.75, 3.0, 1 << 21
+SEQ, END, SHARD_TOKENS, K1, B, POWER, PORTION, COMMON = 2048, 1, 1 << 20, 1.2, 0.75, 3.0, 1 << 22, 4
 TOKENIZER = "word_bpe_49k.json"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NEVER = (1 << 31) - 1
 _BLANK, _LETTER, _DIGIT, _SIGN, _QUOTE, _FOREIGN = range(6)
-#: What makes a word one for the tokenizer itself; no piece that is cut here has it.
-_OTHER = re.compile(rb"'|<\||[^!-~\xc3\x80-\xbf]|\xc3[\x97\xb7]|(?<!\xc3)[\x80-\xbf]|\xc3(?![\x80-\xbf])")
 _KIND = np.full(256, _FOREIGN, np.uint8)
 _KIND[33:127] = _SIGN
 _KIND[48:58] = _DIGIT
@@ -67,10 +63,11 @@ class WordTokens:
     """Exact token ids of texts, piece by piece, for a lower-casing byte-level BPE with word ends.
 
     Texts are lower-cased and cut into pieces as arrays of bytes, a whole portion at once; each distinct piece is
-    merged once and remembered, up to ``cache_pieces`` of them.
+    merged once and remembered: when there are more than ``cache_pieces`` of them, the less frequent half is forgotten,
+    and all if they have more than ``cache_bytes``.
     """
 
-    def __init__(self, path: str, cache_pieces: int = 200_000):
+    def __init__(self, path: str, cache_pieces: int = 200_000, cache_bytes: int = 1 << 25):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -99,12 +96,13 @@ class WordTokens:
             self.slot_key[at[put]], self.slot_rank[at[put]] = key[left[put]], left[put]
             left = left[~put]
             self.probes += 1
-        self.limit = cache_pieces
+        self.limit, self.limit_bytes = cache_pieces, cache_bytes
         self._forget()
 
     def _forget(self) -> None:
-        self.cache: dict[bytes, int] = {}
-        self.ids, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Only the end of a text is known: it stands before the pieces, as entry 0."""
+        self.known, self.seen = pa.array([], pa.binary()), np.zeros(1, np.int64)
+        self.ids, self.start, self.size = np.array([END], np.int32), np.zeros(1, np.int32), np.ones(1, np.int32)
 
     def _slot(self, key: np.ndarray, probe: int) -> np.ndarray:
         return ((key * 0x2545F4914F6CDD1D >> 29) + probe * ((key * 0x9E3779B1 >> 11) | 1)) & self.mask
@@ -126,14 +124,12 @@ class WordTokens:
             todo = todo[~hit & (held >= 0)]
         return out
 
-    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids in one array, number per piece) of pieces of bytes, merged by rank, all at once."""
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        raw = np.frombuffer(b"".join(pieces), np.uint8)
+    def merge(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in one array, number per piece) of pieces of so many bytes each, merged by rank, all at once."""
         sym = self.alone[raw].astype(np.int32)
         last = np.cumsum(size) - 1
         sym[last] = self.final[raw[last]]
-        owner = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
         pair = np.full(len(sym), NEVER, np.int32)  # of each symbol with the next one of its piece
         pair[:-1] = self._ranks(sym[:-1], sym[1:])
         pair[last] = NEVER
@@ -170,63 +166,71 @@ class WordTokens:
             redo = redo[same]
             pair[redo] = self._ranks(sym[redo], sym[redo + 1])
         if not done_sym:
-            return np.zeros(0, np.int32), np.zeros(len(pieces), np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(size), np.int64)
         sym, owner = np.concatenate(done_sym), np.concatenate(done_own)
         order = np.argsort(owner, kind="stable")
-        return sym[order], np.bincount(owner, minlength=len(pieces))
+        return sym[order], np.bincount(owner, minlength=len(size))
 
-    def _add(self, pieces: list[bytes]) -> None:
+    def _add(self, pieces: pa.Array) -> None:
         """Learns the ids of new pieces: plain ones are merged, words with quotes or other letters go through the tokenizer."""
-        other = [k for k, w in enumerate(pieces) if _OTHER.search(w)]
-        if len(other) < len(pieces):
-            plain = pieces
-            if other:
-                mark = np.ones(len(pieces), bool)
-                mark[other] = False
-                plain = [pieces[k] for k in np.flatnonzero(mark)]
-            ids, count = self.merge(plain)
-        else:
-            ids, count = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        raw, ends = _flat(pieces)
+        held = np.diff(ends, prepend=0)
+        other = _others(raw, ends)
+        plain = np.ones(len(pieces), bool)
+        plain[other] = False
+        ids, count = self.merge(raw[np.repeat(plain, held)] if len(other) else raw, held[plain])
         size, start = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
-        mark = np.ones(len(pieces), bool)
-        mark[other] = False
-        size[mark], start[mark] = count, np.cumsum(count) - count
-        if other:
-            enc = self.tokenizer.encode_batch([pieces[k].decode("utf-8") for k in other], add_special_tokens=False)
+        size[plain], start[plain] = count, np.cumsum(count) - count
+        if len(other):
+            enc = self.tokenizer.encode_batch([w.decode("utf-8") for w in pieces.take(pa.array(other)).to_pylist()], add_special_tokens=False)
             extra = [np.array(e.ids, np.int32) for e in enc]
             size[other] = [len(e) for e in extra]
             start[other] = len(ids) + np.cumsum(size[other]) - size[other]
             ids = np.concatenate([ids, *extra])
         base = len(self.ids)
         self.ids = np.concatenate([self.ids, ids])
-        self.start, self.size = np.concatenate([self.start, start + base]), np.concatenate([self.size, size])
+        self.start, self.size = np.concatenate([self.start, (start + base).astype(np.int32)]), np.concatenate([self.size, size.astype(np.int32)])
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in one array, each followed by the end id; where each text ends)."""
         data, ends = _flat(texts)
         pieces, per_text = _pieces(data, ends)
-        coded = pieces.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        if len(self.cache) + len(names) > self.limit:
+        if len(data) + self.known.nbytes >= 1 << 31:  # more than an array of pieces can hold
             self._forget()
-        cache, known = self.cache, len(self.cache)
-        place = np.fromiter((cache.setdefault(w, len(cache)) for w in names), np.int64, len(names))
-        if len(cache) > known:
-            self._add(list(islice(cache, known, None)))
-        rows = place[np.frombuffer(coded.indices.buffers()[1], np.int32, len(pieces))]
-        # the end id counts as one more piece after each text
+        known = len(self.known)
+        # known pieces first: they keep their places, and what follows them is new
+        coded = pa.chunked_array([self.known, pieces]).dictionary_encode().chunk(1) if known and len(pieces) else pieces.dictionary_encode()
+        if len(pieces):
+            self.known = coded.dictionary
+        if len(self.known) > known:
+            self._add(self.known.slice(known))
+        # the end of each text counts as one more piece
         closing = np.cumsum(per_text) + np.arange(len(per_text))
-        inner = np.ones(len(rows) + len(per_text), bool)
+        inner = np.ones(len(pieces) + len(per_text), bool)
         inner[closing] = False
-        size, begin = np.ones(len(inner), np.int64), np.zeros(len(inner), np.int64)
-        size[inner], begin[inner] = self.size[rows], self.start[rows]
-        stop = np.cumsum(size)
-        begin -= stop - size
-        at = np.arange(int(stop[-1]) if len(stop) else 0, dtype=np.int32) + np.repeat(begin.astype(np.int32), size)
-        flat = self.ids[np.minimum(at, len(self.ids) - 1)] if len(self.ids) else np.zeros(len(at), np.int32)
-        stop = stop[closing]
-        flat[stop - 1] = END
-        return flat, stop
+        rows = np.zeros(len(inner), np.int32)
+        rows[inner] = np.frombuffer(coded.indices.buffers()[1], np.int32, len(pieces)) + 1
+        size = self.size[rows]
+        stop = np.cumsum(size, dtype=np.int64)
+        at = np.repeat(self.start[rows] - (stop - size).astype(np.int32), size)
+        at += np.arange(len(at), dtype=np.int32)
+        flat = self.ids[at]
+        self.seen = np.bincount(rows, minlength=len(self.size)) + np.pad(self.seen, (0, len(self.size) - len(self.seen)))
+        if len(self.known) > self.limit or self.known.nbytes > self.limit_bytes:
+            self._keep(self.limit // 2)
+        return flat, stop[closing]
+
+    def _keep(self, n: int) -> None:
+        """Forgets all pieces but the n that were seen most; what they were seen counts half from now on."""
+        if not n or self.known.nbytes > self.limit_bytes:
+            return self._forget()
+        kept = np.sort(np.argpartition(-self.seen[1:], n)[:n])
+        self.known = self.known.take(pa.array(kept))
+        kept = np.append(0, kept + 1)
+        size = self.size[kept]
+        stop = np.cumsum(size, dtype=np.int32)
+        self.ids = self.ids[np.repeat(self.start[kept] - (stop - size), size) + np.arange(stop[-1], dtype=np.int32)]
+        self.start, self.size, self.seen = stop - size, size, self.seen[kept] // 2
 
 
 class PlainTokens:
@@ -309,12 +313,29 @@ def _pieces(raw: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return found, np.diff(upto, prepend=0)
 
 
+def _others(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which pieces (bytes in one array, where each ends) are words for the tokenizer itself: those with <| or other than
+    ASCII signs without the quote and Latin-1 letters."""
+    bad = _KIND[raw] >= _QUOTE
+    if bad.any():  # most are Latin-1 letters: a lead byte and one that follows it in the same piece
+        lead, tail = raw == 0xC3, (raw & 0xC0) == 0x80
+        after = np.concatenate([[False], lead[:-1]])
+        after[ends[:-1]] = False
+        bad &= ~lead & ~tail
+        bad |= (tail != after) | after & ((raw == 0x97) | (raw == 0xB7))
+        bad[ends - 1] |= lead[ends - 1]
+    sign = np.concatenate([[False], (raw[:-1] == 60) & (raw[1:] == 124)])
+    sign[ends[:-1]] = False
+    return np.unique(np.searchsorted(ends, np.flatnonzero(bad | sign), "right"))
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
 class Bm25:
-    """An inverted index over the remainders of a shard."""
+    """An inverted index over the remainders of a shard. Terms of many of them are rows with a place for each remainder
+    instead: adding rows up costs less, and they have at most ``COMMON`` times as many places as their terms have entries."""
 
     def __init__(self, docs: list[np.ndarray], k1: float = K1, b: float = B):
         owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
@@ -326,14 +347,21 @@ class Bm25:
         idf = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5))
         self.weight = np.repeat(idf, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * (size / size.mean())[self.doc]))
         self.n = len(docs)
+        often = df * COMMON > self.n
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.rows = np.zeros((int(often.sum()), self.n))
+        often = np.repeat(often, df)
+        self.rows[np.repeat(self.row, df)[often], self.doc[often]] = self.weight[often]
 
     def scores(self, query: np.ndarray) -> np.ndarray:
         """BM25 of every document for the distinct terms of the query."""
         at = np.searchsorted(self.terms, np.unique(query))
+        row = self.row[at]
+        at = at[row < 0]
         lo, hi = self.begin[at], self.end[at]
         size = hi - lo
         rows = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return np.bincount(self.doc[rows], weights=self.weight[rows], minlength=self.n)
+        return np.bincount(self.doc[rows], weights=self.weight[rows], minlength=self.n) + self.rows[row[row >= 0]].sum(axis=0)
 
 
 def pack_shard(docs: list[np.ndarray], seq: int = SEQ) -> list[tuple[int, int, int, int, int]]:

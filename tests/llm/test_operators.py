@@ -212,6 +212,32 @@ def test_tokens_of_odd_words(spark):
     assert list(own.encode(sliced)[0]) == [i for t in odd for i in [*tok.encode(t or "", add_special_tokens=False).ids, 1]]
 
 
+def test_frequent_pieces_stay_known():
+    """Where there are more pieces than are remembered, rare ones are forgotten and frequent ones aren't merged again."""
+    from tokenizers import Tokenizer
+
+    tok, own = Tokenizer.from_file(packing.default_path()), packing.WordTokens(packing.default_path())
+    own.limit, merged, add = 400, [], own._add
+    own._add = lambda pieces: (merged.append(len(pieces)), add(pieces))[1]
+    name = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(4))
+    for n in range(40):
+        texts = [" ".join(map(name, range(100))) + " É", " ".join(map(name, range(1000 + 100 * n, 1100 + 100 * n))), None]
+        flat, stop = own.encode(pa.array(texts))
+        assert list(flat) == [i for t in texts for i in [*tok.encode(t or "", add_special_tokens=False).ids, 1]] and stop[-1] == len(flat)
+    assert sum(merged) == 101 + 40 * 100 and len(own.known) <= own.limit
+    own.encode(pa.array(["x" * (own.limit_bytes + 1)]))  # nor are long ones kept
+    assert own.known.nbytes < own.limit_bytes and list(own.encode(pa.array(["É ab"]))[0]) == [*tok.encode("É ab", add_special_tokens=False).ids, 1]
+
+
+def test_scores_of_common_and_rare_terms():
+    rng = np.random.default_rng(5)
+    docs = [[*rng.integers(0, 4, 3).tolist(), *rng.integers(10, 200, 4).tolist()] for _ in range(60)] + [[7], [7, 7, 8]]
+    index = packing.Bm25([np.array(d, np.uint16) for d in docs])
+    assert 0 < len(index.rows) < len(index.terms)
+    for query in (docs[0], [7], [0, 1, 2, 3], [7, 8, 0, 0]):
+        assert np.allclose(index.scores(np.array(query)), brute_bm25(docs, query), rtol=1e-12)
+
+
 def brute_bm25(docs, query):
     """Scores of all documents for the distinct terms of a query, from the formula."""
     n, mean = len(docs), sum(map(len, docs)) / len(docs)
