@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SEQ, END, SHARD_TOKENS, K1, B, POWER, PORTION, COMMON = 2048, 1, 1 << 20, 1.2, 0.75, 3.0, 1 << 22, 4
+SEQ, END, SHARD_TOKENS, K1, B, POWER, PORTION, COMMON = 2048, 1, 1 << 20, 1.2, 0.75, 3.0, 1 << 21, 4
 TOKENIZER = "word_bpe_49k.json"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NEVER = (1 << 31) - 1
